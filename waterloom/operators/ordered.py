@@ -34,10 +34,15 @@ class Sequence:
     column added; ``.df`` is the frame.
     """
 
-    def __init__(self, df, keys, order, hot_rows: int = HOT_ROWS, _sliced=None):
+    def __init__(
+        self, df, keys, order, hot_rows: int = HOT_ROWS, slice_by: str | None = None, _sliced=None
+    ):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = [order] if isinstance(order, (str, Column)) else list(order)
         self.hot_rows = hot_rows
+        if slice_by is not None:
+            # the rows already come in ordered, bounded slices (the splits of a text file)
+            df, _sliced = df.withColumn(_SLICE, F.col(slice_by)), True
         if _sliced is None:
             biggest = largest_group(df, self.keys)
             _sliced = biggest > hot_rows
@@ -60,7 +65,7 @@ class Sequence:
         return self._df.drop(_SLICE) if self.sliced else self._df
 
     def _next(self, df: DataFrame) -> "Sequence":
-        return Sequence(df, self.keys, self.order, self.hot_rows, self.sliced)
+        return Sequence(df, self.keys, self.order, self.hot_rows, _sliced=self.sliced)
 
     @property
     def _window(self):
