@@ -31,7 +31,8 @@ class Sequence:
     """Rows of ``df`` in the order of ``order`` inside each group of ``keys``.
 
     ``order`` must be unique inside a group.  Every method returns a new ``Sequence`` with the
-    column added; ``.df`` is the frame.
+    columns added; ``.df`` is the frame.  Values that do not build on each other belong in one
+    ``compute`` call.
     """
 
     def __init__(
@@ -56,6 +57,7 @@ class Sequence:
                 )
         self.sliced = _sliced
         self._df = df
+        self._derived = False
 
     def _order_cols(self) -> list[Column]:
         return [F.col(o) if isinstance(o, str) else o for o in self.order]
@@ -64,128 +66,105 @@ class Sequence:
     def df(self) -> DataFrame:
         return self._df.drop(_SLICE) if self.sliced else self._df
 
-    def _next(self, df: DataFrame) -> "Sequence":
-        return Sequence(df, self.keys, self.order, self.hot_rows, _sliced=self.sliced)
-
-    @property
-    def _window(self):
-        groups = self.keys + ([_SLICE] if self.sliced else [])
-        return Window.partitionBy(*groups).orderBy(*self._order_cols())
-
-    @property
-    def _running(self):
-        return self._window.rowsBetween(Window.unboundedPreceding, 0)
-
-    def _carry(self, summary: dict[str, Column], carried: dict[str, tuple]) -> DataFrame:
-        """Join per-slice summaries, moved along the slices of a group, back to the rows.
-
-        ``carried`` maps an output name to (function of the window, descending?).
+    def compute(
+        self, *, sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None,
+        last_before: dict[str, Column] | None = None, upcoming: dict[str, Column] | None = None,
+        previous: dict[str, Column] | None = None, following: dict[str, Column] | None = None,
+    ) -> "Sequence":
+        """Add any number of running values in one pass.
+
+        ``sums``: running sum including the row (null counts as zero).  ``last`` and
+        ``last_before``: latest non-null value up to the row, or strictly before it.
+        ``upcoming``: earliest non-null value from the row on.  ``previous`` and ``following``:
+        value of the neighbouring row.
         """
-        groups = self.keys + [_SLICE]
-        per_slice = self._df.groupBy(*groups).agg(*[c.alias(n) for n, c in summary.items()])
-        for name, (make, backwards) in carried.items():
-            slot = F.col(_SLICE).desc() if backwards else F.col(_SLICE).asc()
-            per_slice = per_slice.withColumn(
-                name, make(Window.partitionBy(*self.keys).orderBy(slot))
-            )
-        return per_slice.select(*groups, *carried)
-
-    def running_sum(self, **sums: Column) -> "Sequence":
-        """Running sums up to and including the row; null counts as zero."""
-        df = self._df
-        local = {n: F.sum(F.coalesce(c, F.lit(0))).over(self._running) for n, c in sums.items()}
+        groups = self.keys + ([_SLICE] if self.sliced else [])
+        w = Window.partitionBy(*groups).orderBy(*self._order_cols())
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        onward = w.rowsBetween(0, Window.unboundedFollowing)
+        place = F.struct(*self._order_cols())
+        # per output: local value, per-slice summary, how it moves along the slices, how the
+        # carried value completes the local one
+        plan: list[tuple[str, Column, Column, str]] = []
+        for n, c in (sums or {}).items():
+            c = F.coalesce(c, F.lit(0))
+            plan.append((n, F.sum(c).over(so_far), F.sum(c), "sum"))
+        for n, c in (last or {}).items():
+            latest = F.max_by(c, F.when(c.isNotNull(), place))
+            plan.append((n, F.last_value(c, F.lit(True)).over(so_far), latest, "last"))
+        for n, c in (last_before or {}).items():
+            latest = F.max_by(c, F.when(c.isNotNull(), place))
+            plan.append((n, F.last_value(c, F.lit(True)).over(earlier), latest, "last"))
+        for n, c in (upcoming or {}).items():
+            first = F.min_by(c, F.when(c.isNotNull(), place))
+            plan.append((n, F.first_value(c, F.lit(True)).over(onward), first, "upcoming"))
+        for n, c in (previous or {}).items():
+            plan.append((n, F.lag(c).over(w), F.max_by(c, place), "previous"))
+        for n, c in (following or {}).items():
+            plan.append((n, F.lead(c).over(w), F.min_by(c, place), "following"))
         if not self.sliced:
-            return self._next(df.withColumns(local))
-        before = self._carry(
-            {f"_t_{n}": F.sum(F.coalesce(c, F.lit(0))) for n, c in sums.items()},
-            {
-                f"_c_{n}": (
-                    lambda w, n=n: F.sum(f"_t_{n}").over(
-                        w.rowsBetween(Window.unboundedPreceding, -1)
-                    ),
-                    False,
-                )
-                for n in sums
-            },
+            return self._next(self._df.withColumns({n: local for n, local, _, _ in plan}))
+
+        # the rows are read twice, for the summary and for the result, so a chain of passes
+        # starts from a written table
+        df = materialize(self._df) if self._derived else self._df
+        up = Window.partitionBy(*self.keys).orderBy(_SLICE)
+        down = Window.partitionBy(*self.keys).orderBy(F.col(_SLICE).desc())
+        before, after = (o.rowsBetween(Window.unboundedPreceding, -1) for o in (up, down))
+        moves = {
+            "sum": lambda c: F.sum(c).over(before),
+            "last": lambda c: F.last_value(c, F.lit(True)).over(before),
+            "upcoming": lambda c: F.last_value(c, F.lit(True)).over(after),
+            "previous": lambda c: F.lag(c).over(up),
+            "following": lambda c: F.lag(c).over(down),
+        }
+        summary = df.groupBy(*groups).agg(*[s.alias(f"_c_{n}") for n, _, s, _ in plan])
+        carried = summary.select(
+            *groups, *[moves[kind](F.col(f"_c_{n}")).alias(f"_c_{n}") for n, _, _, kind in plan]
         )
-        out = df.withColumns(local).join(before, self.keys + [_SLICE], "left")
-        out = out.withColumns(
-            {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
+        out = df.withColumns({
+            **{n: local for n, local, _, _ in plan},
+            "_at_start": F.lag(F.lit(True)).over(w).isNull(),
+            "_at_end": F.lead(F.lit(True)).over(w).isNull(),
+        }).join(carried, groups, "left")
+        fill = {}
+        for n, _, _, kind in plan:
+            mine, theirs = F.col(n), F.col(f"_c_{n}")
+            if kind == "sum":
+                fill[n] = mine + F.coalesce(theirs, F.lit(0))
+            elif kind in ("last", "upcoming"):
+                fill[n] = F.coalesce(mine, theirs)
+            else:
+                edge = F.col("_at_start" if kind == "previous" else "_at_end")
+                fill[n] = F.when(edge, theirs).otherwise(mine)
+        return self._next(
+            out.withColumns(fill).drop("_at_start", "_at_end", *[f"_c_{n}" for n, *_ in plan])
         )
-        return self._next(out.drop(*[f"_c_{n}" for n in sums]))
+
+    def _next(self, df: DataFrame) -> "Sequence":
+        out = Sequence(df, self.keys, self.order, self.hot_rows, _sliced=self.sliced)
+        out._derived = True
+        return out
+
+    def running_sum(self, **sums: Column) -> "Sequence":
+        return self.compute(sums=sums)
 
     def row_number(self, name: str) -> "Sequence":
         """1-based position inside the group."""
-        return self.running_sum(**{name: F.lit(1).cast("bigint")})
+        return self.compute(sums={name: F.lit(1).cast("bigint")})
 
     def last_value(self, **values: Column) -> "Sequence":
-        """Latest non-null value up to and including the row."""
-        return self._filled(values, backwards=False)
+        return self.compute(last=values)
 
     def next_value(self, **values: Column) -> "Sequence":
-        """Earliest non-null value from the row on."""
-        return self._filled(values, backwards=True)
-
-    def _filled(self, values: dict[str, Column], backwards: bool) -> "Sequence":
-        frame = (
-            self._window.rowsBetween(0, Window.unboundedFollowing) if backwards else self._running
-        )
-        pick = F.first_value if backwards else F.last_value
-        local = {n: pick(c, F.lit(True)).over(frame) for n, c in values.items()}
-        if not self.sliced:
-            return self._next(self._df.withColumns(local))
-        best = F.min_by if backwards else F.max_by
-        place = F.struct(*self._order_cols())
-        edge = self._carry(
-            {
-                f"_t_{n}": best(c, F.when(c.isNotNull(), place))
-                for n, c in values.items()
-            },
-            {
-                f"_c_{n}": (
-                    lambda w, n=n: F.last_value(F.col(f"_t_{n}"), F.lit(True)).over(
-                        w.rowsBetween(Window.unboundedPreceding, -1)
-                    ),
-                    backwards,
-                )
-                for n in values
-            },
-        )
-        out = self._df.withColumns(local).join(edge, self.keys + [_SLICE], "left")
-        out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in values})
-        return self._next(out.drop(*[f"_c_{n}" for n in values]))
+        return self.compute(upcoming=values)
 
     def previous(self, **values: Column) -> "Sequence":
-        """Value of the row before, null for the first row of a group."""
-        return self._shifted(values, backwards=False)
+        return self.compute(previous=values)
 
     def following(self, **values: Column) -> "Sequence":
-        """Value of the row after, null for the last row of a group."""
-        return self._shifted(values, backwards=True)
-
-    def _shifted(self, values: dict[str, Column], backwards: bool) -> "Sequence":
-        move = F.lead if backwards else F.lag
-        local = {n: move(c).over(self._window) for n, c in values.items()}
-        if not self.sliced:
-            return self._next(self._df.withColumns(local))
-        marker = move(F.lit(True)).over(self._window)
-        best = F.min_by if backwards else F.max_by
-        place = F.struct(*self._order_cols())
-        edge = self._carry(
-            {f"_t_{n}": best(c, place) for n, c in values.items()},
-            {
-                f"_c_{n}": (lambda w, n=n: F.lag(f"_t_{n}").over(w), backwards)
-                for n in values
-            },
-        )
-        out = self._df.withColumns({**local, "_inside": marker})
-        out = out.join(edge, self.keys + [_SLICE], "left").withColumns(
-            {
-                n: F.when(F.col("_inside").isNull(), F.col(f"_c_{n}")).otherwise(F.col(n))
-                for n in values
-            }
-        )
-        return self._next(out.drop("_inside", *[f"_c_{n}" for n in values]))
+        return self.compute(following=values)
 
 
 def encounter_ids(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waterloom.functions import labels
@@ -25,6 +25,7 @@ from waterloom.functions.numbers import (
 from waterloom.operators import matching, polylines, spatial
 from waterloom.operators.ordered import Sequence, encounter_ids
 from waterloom.session import materialize
+from waterloom.sources import dxf
 
 # Layers of each family.
 MAIN, MAIN_TEXT = "EU 1_Canalisations", "EU 1_Canalisations_Habillage"
@@ -53,6 +54,17 @@ class Drawing:
     vertices: DataFrame
     unique_pipe: bool = True
 
+    @classmethod
+    def from_tags(cls, marked: DataFrame, unique_pipe: bool = True) -> "Drawing":
+        """Assemble entities and vertices once; every network below reads the written tables."""
+        kept = materialize(dxf.model_space(marked, [*dxf.ENTITY_TYPES, "SPLINE"]))
+        return cls(materialize(dxf.entities(kept)), materialize(dxf.vertices(kept)), unique_pipe)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path, unique_pipe: bool = True) -> "Drawing":
+        tags = materialize(dxf.read_tags(spark, path))
+        return cls.from_tags(dxf.mark_entities(tags), unique_pipe)
+
     def of(self, kind: str, layer: Column) -> DataFrame:
         return self.entities.where((F.col("type") == kind) & layer)
 
@@ -68,7 +80,8 @@ class Drawing:
     @cached_property
     def strict(self) -> DataFrame:
         main = self.of("LWPOLYLINE", F.col("layer") == MAIN).select(*_KEY)
-        return polylines.coordinate_mode(self.vertices.join(main, _KEY, "left_semi"), ["file"])
+        return materialize(
+            polylines.coordinate_mode(self.vertices.join(main, _KEY, "left_semi"), ["file"]))
 
     def with_mode(self, df: DataFrame) -> DataFrame:
         return df.join(self.strict, "file", "left").withColumn(
@@ -87,7 +100,7 @@ class Drawing:
     @cached_property
     def classified(self) -> DataFrame:
         """Main-layer polylines with their class and length."""
-        shaped = self.with_mode(self.shapes(F.col("layer") == MAIN))
+        shaped = materialize(self.with_mode(self.shapes(F.col("layer") == MAIN)))
         kind = geometry_class(F.col("strict"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
         measured = polylines.lengths(
             self.vertices.join(shaped.select(*_KEY), _KEY, "left_semi"), _KEY

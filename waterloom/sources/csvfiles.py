@@ -36,7 +36,7 @@ def rows_of(lines: DataFrame, utf8: bool = True) -> DataFrame:
     """
     text = F.col("text")
     if utf8:
-        text = F.decode(F.encode(text, "ISO-8859-1"), F.lit("UTF-8"))
+        text = F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))
     kept = lines.withColumn("text", F.regexp_replace(text, r"^\x{FEFF}", "")).where(
         trim(F.col("text")) != ""
     )

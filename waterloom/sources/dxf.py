@@ -38,13 +38,13 @@ def tags_from_lines(lines: DataFrame) -> DataFrame:
     leaves the scan waiting for a code, so the role of any line is the parity of its distance
     from the last such line, which a carried value answers without a sequential pass.
     """
-    code = int_prefix(F.col("text"))
-    seq = (
-        Sequence(lines.withColumn("_code", code), "file", "line_no", slice_by=_slices(lines))
-        .previous(_odd=F.when(F.col("_code").isNull(), F.col("line_no")))
-        .following(value=F.col("text"))
+    seq = Sequence(
+        lines.withColumn("_code", int_prefix(F.col("text"))), "file", "line_no",
+        slice_by=_slices(lines),
+    ).compute(
+        last_before={"_reset": F.when(F.col("_code").isNull(), F.col("line_no"))},
+        following={"value": F.col("text")},
     )
-    seq = seq.last_value(_reset=F.col("_odd"))
     distance = F.col("line_no") - F.coalesce("_reset", F.lit(-1)) - 1
     keep = ["block"] if "block" in lines.columns else []
     return seq.df.where(
@@ -57,25 +57,34 @@ def read_tags(spark: SparkSession, path) -> DataFrame:
     return tags_from_lines(read_lines(spark, path))
 
 
-def mark_entities(tags: DataFrame) -> DataFrame:
-    """Add to every tag its section, entity number (tag_no of its start), type and block depth."""
-    value = trim(F.col("value"))
-    seq = Sequence(
-        tags.withColumn("value", value), "file", "tag_no", slice_by=_slices(tags)
-    ).previous(_pc=F.col("code"), _pv=F.col("value"))
+def section_spans(tags: DataFrame) -> DataFrame:
+    """Sections of a drawing, a few rows per file: file, section, first and last tag."""
+    starts = tags.where((F.col("code") == 0) & (trim(F.col("value")) == "SECTION")).select(
+        "file", F.col("tag_no").alias("first"), (F.col("tag_no") + 2).alias("tag_no"))
+    names = tags.where(F.col("code") == 2).select(
+        "file", "tag_no", trim(F.col("value")).alias("section"))
+    ends = tags.where((F.col("code") == 0) & (trim(F.col("value")) == "ENDSEC")).select(
+        "file", F.col("tag_no").alias("first"), F.lit(None).cast("string").alias("section"))
+    marks = starts.join(names, ["file", "tag_no"]).select("file", "first", "section").unionByName(
+        ends)
+    spans = Sequence(marks, "file", "first").following(last=F.col("first")).df
+    return spans.where(F.col("section").isNotNull())
+
+
+def mark_entities(tags: DataFrame, section: str = "ENTITIES") -> DataFrame:
+    """Tags of one section with entity number (tag_no of its start), type and block depth."""
+    span = section_spans(tags).where(F.col("section") == section).select("file", "first", "last")
+    inside = tags.join(span, "file").where(
+        (F.col("tag_no") > F.col("first") + 2)
+        & (F.col("last").isNull() | (F.col("tag_no") < F.col("last")))
+    ).drop("first", "last").withColumn("value", trim(F.col("value")))
     start = F.col("code") == 0
-    named = (F.col("code") == 2) & (F.col("_pc") == 0) & (F.col("_pv") == "SECTION")
-    event = F.when(named, F.col("value")).when(start & (F.col("value") == "ENDSEC"), F.lit(""))
-    seq = seq.last_value(
-        section=event,
-        ent_no=F.when(start, F.col("tag_no")),
-        type=F.when(start, F.col("value")),
-    )
-    inside = F.col("section") == "ENTITIES"
-    step = F.when(inside & start & (F.col("value") == "BLOCK"), 1).when(
-        inside & start & (F.col("value") == "ENDBLK"), -1
-    ).otherwise(0)
-    return seq.running_sum(depth=step).df.drop("_pc", "_pv")
+    step = F.when(start & (F.col("value") == "BLOCK"), 1).when(
+        start & (F.col("value") == "ENDBLK"), -1).otherwise(0)
+    return Sequence(inside, "file", "tag_no", slice_by=_slices(tags)).compute(
+        last={"ent_no": F.when(start, F.col("tag_no")), "type": F.when(start, F.col("value"))},
+        sums={"depth": step},
+    ).df
 
 
 def relevant_layer(layer: Column, layers: list[str] | None = None) -> Column:
@@ -90,9 +99,7 @@ def model_space(
     ``layer`` is a predicate over the column ``value`` of layer tags; entities failing it are
     removed by a semi-join, so their other tags never reach the grouping.
     """
-    kept = marked.where((F.col("section") == "ENTITIES") & ~F.col("type").isin("SECTION", "ENDSEC"))
-    if types:
-        kept = kept.where(F.col("type").isin(types))
+    kept = marked.where(F.col("type").isin(types)) if types else marked
     if layer is not None:
         wanted = kept.where((F.col("code") == 8) & layer).select("file", "ent_no")
         kept = kept.join(wanted, ["file", "ent_no"], "left_semi")
@@ -186,10 +193,10 @@ def insert_blocks(marked: DataFrame) -> DataFrame:
     )
 
 
-def drawing_format(marked: DataFrame) -> DataFrame:
+def drawing_format(tags: DataFrame) -> DataFrame:
     """Per file: ``proxy`` when a proxy network layer is named in it, else ``plain``."""
     named = F.col("value").rlike("C-STRM-(PIPE|STRC|TEXT)|C-SSWR-(PIPE|STRC|TEXT)")
-    return marked.groupBy("file").agg(
+    return tags.groupBy("file").agg(
         F.when(F.bool_or(named), "proxy").otherwise("plain").alias("format")
     )
 

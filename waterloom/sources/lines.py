@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_mid"),
-        F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1")).alias("_raw"),
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("_raw"),
     )
     splits = raw.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_mid").alias("_first")
