@@ -1,4 +1,4 @@
-"""Element tables out of mapped CSV cells."""
+"""Element tables out of mapped CSV rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from waterloom import schema
 from waterloom.functions.numbers import number, text_or, trim
 from waterloom.operators.ordered import Sequence
 from waterloom.operators.profiling import junk_columns
+from waterloom.session import materialize
+from waterloom.sources.csvfiles import cells_of
 
 # Prefix of generated identifiers.
 ID_PREFIX = {"JUNCTIONS": "J", "PIPES": "P", "RESERVOIRS": "R", "TANKS": "T", "PUMPS": "PU",
@@ -18,33 +20,45 @@ _LINKS = {"PIPES", "PUMPS", "VALVES"}
 
 
 def map_table(
-    cells: DataFrame, mapping: DataFrame, section: str, *, strict_coordinates: bool = True,
+    rows: DataFrame, mapping: DataFrame, section: str, *, strict_coordinates: bool = True,
     comments: bool = True,
 ) -> dict[str, DataFrame]:
     """Typed rows of one section and their coordinates.
 
-    ``cells`` are long (file, row_no, col_no, header, value); ``mapping`` is (file, header,
-    field).  Unmapped filled cells of columns that are not junk become the comment.  With
-    ``strict_coordinates`` a position counts only when both parts are non-zero and only for
+    ``rows`` are (file, row_no, headers, cells) as the CSV reader gives them; ``mapping`` is
+    (file, header, field), a few rows per file, so cells are picked by place inside their row
+    and never shuffled.  Unmapped filled cells of columns that are not junk become the comment.
+    With ``strict_coordinates`` a position counts only when both parts are non-zero and only for
     junctions; otherwise when both are present, for reservoirs and tanks too.
     """
-    keys = ["file", "row_no"]
-    named = mapping.where(F.col("field").isNotNull()).select(
-        "file", F.lower("header").alias("_h"), "field")
-    long = cells.withColumn("_h", F.lower("header")).join(named, ["file", "_h"], "left")
+    chosen = mapping.where(F.col("field").isNotNull()).groupBy("file", "field").agg(
+        F.max(F.lower("header")).alias("_h")
+    ).groupBy("file").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "_h"))).alias("_map"))
+    long = rows.where(F.col("row_no") > 0).join(chosen, "file", "left")
+    lower = F.transform("headers", F.lower)
+
+    def get(name: str) -> Column:
+        at = F.array_position(lower, F.element_at("_map", F.lit(name))).cast("int")
+        return F.coalesce(
+            F.when(at > 0, F.try_element_at(F.col("cells"), at)), F.lit("")).alias(name)
+
     fields = list(dict.fromkeys(schema.all_fields(section) + ["x", "y"]))
-    parts = [F.max_by(F.when(F.col("field") == f, F.col("value")),
-                      F.when(F.col("field") == f, F.col("col_no"))).alias(f) for f in fields]
+    parts = [get(f) for f in fields]
     if comments:
-        junk = junk_columns(cells, ["file", "header"]).select(
-            "file", "header", F.lit(True).alias("_junk"))
-        long = long.join(junk, ["file", "header"], "left")
-        extra = trim(F.regexp_replace("value", ";+$", ""))
-        spare = F.when(F.col("field").isNull() & F.col("_junk").isNull() & (extra != ""),
-                       F.struct("col_no", extra.alias("t")))
-        parts.append(F.array_join(F.transform(F.array_sort(F.collect_list(spare)),
-                                              lambda s: s["t"]), " ").alias("comment"))
-    wide = long.groupBy(*keys).agg(*parts)
+        junk = junk_columns(cells_of(rows), ["file", "header"]).groupBy("file").agg(
+            F.collect_set("header").alias("_junk"))
+        long = long.join(junk, "file", "left")
+        used = F.coalesce(F.map_values("_map"), F.array().cast("array<string>"))
+        skipped = F.coalesce("_junk", F.array().cast("array<string>"))
+        pairs = F.filter(F.arrays_zip(F.col("headers").alias("h"), F.col("cells").alias("c")),
+                         lambda p: ~F.array_contains(used, F.lower(p["h"]))
+                         & ~F.array_contains(skipped, p["h"]))
+        spare = F.transform(pairs, lambda p: trim(F.regexp_replace(
+            F.coalesce(p["c"], F.lit("")), ";+$", "")))
+        parts.append(F.array_join(F.filter(spare, lambda t: t != ""), " ").alias("comment"))
+    keys = ["file", "row_no"]
+    kept = long.select(*keys, *parts)
 
     def num(name: str, default: float = 0.0) -> Column:
         v = F.coalesce(number(F.col(name)), F.lit(0.0))
@@ -52,34 +66,36 @@ def map_table(
 
     columns = []
     for f in schema.all_fields(section):
-        kind = schema.RULES.get(f, {}).get("kind")
         if f == "id":
             continue
-        if kind == "numeric":
+        if schema.RULES.get(f, {}).get("kind") == "numeric":
             columns.append(num(f, 140.0 if f == "roughness" else 0.0).alias(f))
         else:
             columns.append(text_or(F.col(f), _DEFAULTS.get(f, "")).alias(f))
-    kept = wide
     if section in _LINKS:
-        kept = kept.where((F.coalesce("node1", F.lit("")) != "")
-                          & (F.coalesce("node2", F.lit("")) != ""))
-    # a generated number counts the rows written before; an identifier is never renumbered
-    counted = Sequence(kept, ["file"], "row_no").row_number("_n").df
+        kept = kept.where((F.col("node1") != "") & (F.col("node2") != ""))
+    kept = materialize(kept)
+    counted = kept.withColumn("_n", F.lit(None).cast("bigint"))
+    if not kept.where(F.col("id") == "").isEmpty():
+        # a generated number counts the rows written so far, so the rows have to be numbered
+        counted = Sequence(kept, ["file"], "row_no").row_number("_n").df
     id_ = text_or(F.col("id"), F.concat(F.lit(ID_PREFIX[section]), F.col("_n").cast("string")))
     tail = ["comment"] if comments else []
-    rows = counted.select(*keys, id_.alias("id"), *columns, *tail)
+    out = counted.select(*keys, id_.alias("id"), *columns, *tail)
     spots = counted.select(*keys, id_.alias("id"), number(F.nullif("x", F.lit(""))).alias("x"),
                            number(F.nullif("y", F.lit(""))).alias("y")).dropna(subset=["x", "y"])
     if strict_coordinates:
         spots = spots.where((F.col("x") != 0) & (F.col("y") != 0))
     placed = section == "JUNCTIONS" or (
         not strict_coordinates and section in ("RESERVOIRS", "TANKS"))
-    return {section.lower(): rows, "coordinates": spots if placed else spots.where(F.lit(False))}
+    return {section.lower(): out, "coordinates": spots if placed else spots.where(F.lit(False))}
 
 
-def positional_mapping(cells: DataFrame, section: str) -> DataFrame:
+def positional_mapping(rows: DataFrame, section: str) -> DataFrame:
     """Mapping by column place, for files whose headers say nothing."""
     names = F.array(*[F.lit(f) for f in schema.POSITIONAL[section]])
-    columns = cells.select("file", "header", "col_no").distinct()
-    return columns.withColumn("field", F.try_element_at(names, F.col("col_no") + 1)).where(
-        F.col("field").isNotNull()).select("file", "header", "field")
+    heads = rows.where(F.col("row_no") == 0).select("file", F.posexplode("headers"))
+    return heads.select(
+        "file", F.col("col").alias("header"),
+        F.try_element_at(names, F.col("pos") + 1).alias("field"),
+    ).where(F.col("field").isNotNull())

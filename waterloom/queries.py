@@ -17,6 +17,7 @@ from waterloom.operators import (
 )
 from waterloom.plans import mapping, model_text, update
 from waterloom.plans.features import extent, feature_json, point_features
+from waterloom.session import materialize
 from waterloom.sources import csvfiles, dxf, inp
 from waterloom.sources.lines import lines_of
 
@@ -366,9 +367,17 @@ def read_numbers(spark, d):
         numbers.int_prefix(v).alias("int_prefix"), text.is_disguised_null(v).alias("hidden_null"))
 
 
-@query("fixed_decimals", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
- printf('%.1f', l_extendedprice * l_discount) AS one, printf('%.3f', l_extendedprice * l_tax) AS three,
- printf('%.2f', l_quantity * 1000 / 304.8) AS feet FROM lineitem""")
+def _fixed_sql(e: str, n: int) -> str:
+    """printf with exact ties away from zero (printf itself rounds them to even)."""
+    k = f"abs({e}) * {2 ** (n + 1)}.0"
+    return (f"printf('%.{n}f', CASE WHEN {k} = floor({k}) AND CAST({k} AS BIGINT) % 2 = 1 "
+            f"THEN (floor(abs({e}) * {10 ** n}.0) + 1) / {10 ** n}.0 ELSE {e} END)")
+
+
+@query("fixed_decimals", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+ {_fixed_sql('(l_extendedprice * l_discount)', 1)} AS one,
+ {_fixed_sql('(l_extendedprice * l_tax)', 3)} AS three,
+ {_fixed_sql('(l_quantity * 1000 / 304.8)', 2)} AS feet FROM lineitem""")
 def fixed_decimals(spark, d):
     c = F.col
     return table(spark, d, "lineitem").select(
@@ -485,14 +494,14 @@ def junk_columns(spark, d):
 NAMES = "CASE WHEN c_nationkey < 9 THEN 'PIPES' WHEN c_nationkey < 17 THEN 'nodes' ELSE c_mktsegment END"
 
 
-@query("discriminator", f"""WITH k AS (SELECT c_nationkey AS file, {NAMES} AS v FROM customer),
+@query("discriminator", f"""WITH k AS (SELECT c_custkey // 5 AS file, {NAMES} AS v FROM customer),
  g AS (SELECT file, count(DISTINCT upper(v)) AS n, count(*) AS f, count(DISTINCT upper(v))
  FILTER (upper(v) IN ('PIPES', 'NODES')) AS known FROM k GROUP BY file)
  SELECT file, 'kind' AS header, n AS "values", known / CAST(n AS DOUBLE) AS match_ratio FROM g
  WHERE n / CAST(f AS DOUBLE) > 0.2 AND n / CAST(f AS DOUBLE) < 0.6 AND n > 1 AND n < 30 AND known >= 2""")
 def discriminator(spark, d):
     cells = table(spark, d, "customer").select(
-        F.col("c_nationkey").alias("file"), F.lit(0).alias("col_no"), F.lit("kind").alias("header"),
+        F.floor(F.col("c_custkey") / 5).alias("file"), F.lit(0).alias("col_no"), F.lit("kind").alias("header"),
         F.expr(NAMES).alias("value"))
     return profiling.discriminator_columns(cells, ["file"])
 
@@ -547,17 +556,17 @@ def suggest_fields(spark, d):
 def mapped_projection(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         *[F.max(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity")])
-    wide = rows.select(
+    lines = rows.select(
+        F.lit("f").alias("file"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
-        F.expr("concat('P', l_orderkey, '-', l_linenumber)").alias("pipe_id"),
-        F.col("l_suppkey").cast("string").alias("from"),
-        F.col("l_partkey").cast("string").alias("to"),
-        (F.col("l_quantity") * 10).cast("string").alias("diam"))
-    cells = profiling.to_cells(wide).withColumn("file", F.lit("f"))
+        F.array(*[F.lit(h) for h in ("pipe_id", "from", "to", "diam")]).alias("headers"),
+        F.array(F.expr("concat('P', l_orderkey, '-', l_linenumber)"),
+                F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"),
+                (F.col("l_quantity") * 10).cast("string")).alias("cells"))
     chosen = spark.createDataFrame(
         [("f", "pipe_id", "id"), ("f", "from", "node1"), ("f", "to", "node2"),
          ("f", "diam", "diameter")], "file string, header string, field string")
-    out = mapping.map_table(cells, chosen, "PIPES")["pipes"]
+    out = mapping.map_table(lines, chosen, "PIPES")["pipes"]
     return out.select("row_no", "id", "node1", "node2", "diameter", "roughness", "status")
 
 
@@ -839,7 +848,8 @@ def model_round_trip(spark, d):
         F.col("c_custkey").alias("row_no"), F.col("c_custkey").cast("string").alias("id"),
         F.col("c_acctbal").alias("elevation"))
     text_ = model_text.table_model(spark, {"junctions": nodes, "pipes": pipes})
-    back = inp.model_tables(inp.sections(model_text.numbered_lines(text_)))["pipes"]
+    lines = materialize(model_text.numbered_lines(text_))
+    back = inp.model_tables(inp.sections(lines))["pipes"]
     return back.select("id", "node1", "node2", "length", "diameter", "status")
 
 
@@ -847,14 +857,15 @@ def model_round_trip(spark, d):
  CAST(printf('%.6f', x) AS DOUBLE) AS x, CAST(printf('%.6f', y) AS DOUBLE) AS y FROM tr""")
 def drawing_round_trip(spark, d):
     """Tracks -> drawing text -> tags -> entities -> vertices."""
-    line = tracks(spark, d, numbered=True).select(
+    line = materialize(tracks(spark, d, numbered=True)).select(
         F.col("user_id").alias("ent_no"), "v_no", "x", "y")
     heads = line.select("ent_no").distinct().select(
         "ent_no", F.concat(F.lit("L"), (F.col("ent_no") * 2).cast("string")).alias("layer"),
         F.lit(False).alias("closed"))
     text_ = model_text.drawing_text(spark, polylines_=[(heads, line)])
-    tags = dxf.tags_from_lines(model_text.numbered_lines(text_))
-    kept = dxf.model_space(dxf.mark_entities(tags), ["LWPOLYLINE"])
+    lines = materialize(model_text.numbered_lines(text_))
+    tags = materialize(dxf.tags_from_lines(lines))
+    kept = materialize(dxf.model_space(dxf.mark_entities(tags), ["LWPOLYLINE"]))
     named = dxf.entities(kept).select("file", "ent_no", F.substring("layer", 2, 20)
                                       .cast("bigint").alias("layer_no"))
     return dxf.vertices(kept).join(named, ["file", "ent_no"]).select("layer_no", "v_no", "x", "y")
@@ -924,7 +935,7 @@ def model_update(spark, d):
 
 @query("geometry_network")
 def geometry_network(spark, d):
-    line = tracks(spark, d, numbered=True).select(
+    line = materialize(tracks(spark, d, numbered=True)).select(
         F.lit("supply").alias("family"), F.col("user_id").alias("ent_no"), "v_no", "x", "y")
     heads = line.select("family", "ent_no").distinct().withColumn("diam", F.lit("110"))
     nodes = customers_at(spark, d).select(

@@ -17,15 +17,14 @@ def sections(lines: DataFrame) -> DataFrame:
     Columns: file, section, line_no, cells, shifted (cells without the empty ones), comment.
     """
     t = trim(F.col("text"))
-    opens = t.startswith("[") & t.endswith("]")
     seq = Sequence(
         lines.withColumn("text", t), "file", "line_no",
         slice_by="block" if "block" in lines.columns else None,
     )
     opens = F.col("text").startswith("[") & F.col("text").endswith("]")
     name = F.upper(F.expr("substring(text, 2, length(text) - 2)"))
-    marked = seq.last_value(
-        _at=F.when(opens, F.col("line_no")), section=F.when(opens, name)
+    marked = seq.compute(
+        last={"_at": F.when(opens, F.col("line_no")), "section": F.when(opens, name)}
     ).df
     latest = marked.where(opens).groupBy("file", "section").agg(F.max("line_no").alias("_at"))
     data = marked.where(
