@@ -125,7 +125,9 @@ def test_profiles(built):
 def test_report_and_layers(built):
     r = short(built.report()).first()
     assert (r["manholes"], r["pipes"], r["profiles"], r["profile_segments"]) == (4, 2, 1, 1)
-    assert short(sewer_layers(built.entities)).count() == 13
+    assert [r["layer"] for r in short(sewer_layers(built.entities)).collect()] == [
+        "DN 200", "DN110", "DN160", "EU 1_Canalisations", "EU 1_Canalisations_Habillage", PROFILE,
+        "EU 1_Regards", "EU 1_Regards_Habillage", "_AEP", "_RESEAU INCENDIE", "assai 250"]
     pipes, lines, people = keyword_network(built)
     assert short(lines).count() == 1 and short(people).count() == 3
 

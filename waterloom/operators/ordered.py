@@ -178,7 +178,8 @@ def encounter_ids(
     """
     within = within or []
     firsts = df.groupBy(*within, *key).agg(F.min(F.struct(*order)).alias("_first"))
-    firsts = firsts.select(*within, *key, *[F.col("_first")[o].alias(o) for o in order])
+    extra = [o for o in order if o not in key and o not in within]
+    firsts = firsts.select(*within, *key, *[F.col("_first")[o].alias(o) for o in extra])
     numbered = Sequence(firsts, within, order, hot_rows).row_number("_n").df
     return numbered.withColumn(name, F.concat(F.lit(prefix), F.col("_n"))).drop("_n")
 
