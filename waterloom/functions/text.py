@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,12 +43,23 @@ def fold_name(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), rf"[_\-{SPACES}]+", "")
 
 
+def _characters(pattern: str) -> str:
+    """Every character of the basic plane a character class matches, as plain text."""
+    python = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", pattern)
+    ascii_space = re.compile(python, re.ASCII)
+    return "".join(c for c in map(chr, range(1, 0xFFFF)) if ascii_space.match(c))
+
+
+_DROPPED = _characters(ARABIC_MARKS) + _characters(rf"[_\-{SPACES}]") + _characters(PUNCTUATION)
+
+
 def normalize_text(value: Column) -> Column:
-    """Lower-case, drop Arabic marks, fold letter variants, drop separators and punctuation."""
-    t = F.regexp_replace(F.lower(trim(value)), ARABIC_MARKS, "")
-    t = F.translate(t, ARABIC_VARIANTS, ARABIC_FOLDED)
-    t = F.regexp_replace(t, rf"[_\-{SPACES}]+", "")
-    return F.coalesce(F.regexp_replace(t, PUNCTUATION, ""), F.lit(""))
+    """Lower-case, drop Arabic marks, fold letter variants, drop separators and punctuation.
+
+    All of it is one character-by-character pass: ``translate`` deletes what has no counterpart.
+    """
+    t = F.translate(F.lower(value), ARABIC_VARIANTS + _DROPPED, ARABIC_FOLDED)
+    return F.coalesce(t, F.lit(""))
 
 
 def normalize_header(value: Column) -> Column:

@@ -82,7 +82,11 @@ class Sequence:
         w = Window.partitionBy(*groups).orderBy(*self._order_cols())
         so_far = w.rowsBetween(Window.unboundedPreceding, 0)
         earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-        onward = w.rowsBetween(0, Window.unboundedFollowing)
+        # looking ahead is looking back in reverse order: a frame that ends at the last row
+        # would be evaluated again for every row
+        onward = Window.partitionBy(*groups).orderBy(
+            *[c.desc() for c in self._order_cols()]
+        ).rowsBetween(Window.unboundedPreceding, 0)
         place = F.struct(*self._order_cols())
         # per output: local value, per-slice summary, how it moves along the slices, how the
         # carried value completes the local one
@@ -98,7 +102,7 @@ class Sequence:
             plan.append((n, F.last_value(c, F.lit(True)).over(earlier), latest, "last"))
         for n, c in (upcoming or {}).items():
             first = F.min_by(c, F.when(c.isNotNull(), place))
-            plan.append((n, F.first_value(c, F.lit(True)).over(onward), first, "upcoming"))
+            plan.append((n, F.last_value(c, F.lit(True)).over(onward), first, "upcoming"))
         for n, c in (previous or {}).items():
             plan.append((n, F.lag(c).over(w), F.max_by(c, place), "previous"))
         for n, c in (following or {}).items():
