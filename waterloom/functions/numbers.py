@@ -18,9 +18,16 @@ FLOAT_PREFIX = rf"^[{SPACES}]*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?
 INT_PREFIX = rf"^[{SPACES}]*([+-]?[0-9]+)"
 
 
+# The same characters one by one.
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def trim(value: Column) -> Column:
     """Trim every kind of white space, not blanks only."""
-    return F.regexp_replace(value, rf"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(value, F.lit(SPACE_CHARS))
 
 
 def parse_number(text: Column) -> Column:

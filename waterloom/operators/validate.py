@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waterloom import schema
 from waterloom.functions.text import is_disguised_null, validation_number, validation_text
+from waterloom.session import materialize
 
 SEVERITIES = ["ok", "info", "warning", "blocking"]
 
@@ -29,10 +30,11 @@ def field_findings(
     if field != "field":
         rules = rules.withColumnRenamed("field", field)
     v = F.col(value)
-    rows = cells.join(F.broadcast(rules), field).select(
-        *keys, row_no, value, *[c for c in rules.columns if c != field],
-        validation_text(v).alias("_text"), validation_number(v).alias("_num"),
-    )
+    # cells are read once: the column facts and the first uses below start from a written table
+    staged = materialize(cells.select(
+        *keys, row_no, value, validation_text(v).alias("_text"), validation_number(v).alias("_num")
+    ))
+    rows = staged.join(F.broadcast(rules), field)
     text, num, kind = F.col("_text"), F.col("_num"), F.col("kind")
     numeric = kind.isin("numeric", "integer")
     bad_number = numeric & text.isNotNull() & num.isNull()
