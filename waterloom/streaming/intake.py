@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waterloom.operators import validate
 from waterloom.operators.merge import merge_elements
 from waterloom.operators.profiling import to_cells
+from waterloom.session import materialize
 
 
 
@@ -46,7 +47,7 @@ def merge_batch(batch: DataFrame, version: int, root: str, id: str = "id") -> No
     a version counts once it is complete.
     """
     spark = batch.sparkSession
-    batch = batch.persist()
+    batch = materialize(batch)  # row numbers must stay the same for every use
     done = [v for v in _versions(spark, root) if v < version]
     stored = spark.read.parquet(f"{root}/v={done[-1]}/elements") if done else batch.limit(0)
     result = merge_elements(stored, batch, id=id)
@@ -58,7 +59,6 @@ def merge_batch(batch: DataFrame, version: int, root: str, id: str = "id") -> No
     found.write.mode("overwrite").parquet(f"{folder}/findings")
     result.incoming.drop("existing").write.mode("overwrite").parquet(f"{folder}/incoming")
     result.elements.write.mode("overwrite").parquet(f"{folder}/elements")
-    batch.unpersist()
 
 
 def start_intake(
@@ -71,13 +71,11 @@ def start_intake(
         spark.readStream.format(fmt).schema(schema)
         .options(**({"header": True, "maxFilesPerTrigger": files_per_batch} | (options or {})))
         .load(source)
-        .withColumns({
-            "_source": F.col("_metadata.file_path"),
-            "row_no": F.monotonically_increasing_id(),
-        })
+        .withColumn("_source", F.col("_metadata.file_path"))
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("row_no", F.monotonically_increasing_id())
         merge_batch(prepare(batch) if prepare else batch, batch_id, root)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
