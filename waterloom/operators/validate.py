@@ -46,7 +46,7 @@ def field_findings(
         F.count_if(bad_number).alias("_bad"), F.count_if(broken).alias("_broken"),
         F.count("_text").alias("_filled"),
     )
-    rows = rows.join(F.broadcast(facts), keys)
+    rows = rows.join(facts, keys)
     seen = rows.where(F.col("unique_ids") & text.isNotNull()).groupBy(*keys, "_text").agg(
         F.min(row_no).alias("_first")
     )
