@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waterloom.llm import tokens
+from waterloom.llm import packing, tokens, winnow
 from waterloom.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,30 @@ def op9_token_counts(spark, d):
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
         tokens.token_count("text").alias("n_tokens"),
     ).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+WORDS5 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op5_decontamination", f"""WITH d AS (SELECT doc_id, {WORDS5} AS w FROM documents),
+it AS (SELECT item_id, {WORDS5} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS s, w[i:i + least(len(w), 13) - 1] AS x
+ FROM it, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, s, i, w[i:i + s - 1] AS x FROM d, (SELECT DISTINCT s FROM iw),
+ unnest(range(1, len(w) - s + 2)) t(i)),
+hit AS (SELECT DISTINCT doc_id, item_id, i, dw.s FROM dw JOIN iw ON dw.x = iw.x),
+hw AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, s)) t(j) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT
+ item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM hit GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+ coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""")
+def op5_decontamination(spark, d):
+    return winnow.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op6_packing")
+def op6_packing(spark, d):
+    return packing.packed(table(spark, d, "documents"))
