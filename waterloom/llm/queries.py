@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waterloom.llm import packing, tokens, winnow
+from waterloom.llm import packing, simhash, tokens, winnow
 from waterloom.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,9 @@ def op5_decontamination(spark, d):
 @query("op6_packing")
 def op6_packing(spark, d):
     return packing.packed(table(spark, d, "documents"))
+
+
+@query("op1_simhash_groups")
+def op1_simhash_groups(spark, d):
+    out = simhash.near_duplicates(table(spark, d, "documents"))
+    return out.select("doc_id", "fingerprint", "component_id")
