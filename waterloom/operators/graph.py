@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.session import materialize
+from waterloom.session import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,8 +19,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """Smallest reachable node per node: columns ``node`` and ``component``.
 
     Alternating large-star / small-star (Kiveris et al., 2014).  Every step is a minimum per
-    node, combined before the shuffle, and a join of the edges with one row per node, so a node
-    with very many edges only makes a skewed join that adaptive execution splits.
+    node, combined before the shuffle, and a join of the edges with one row per node.  That side
+    is written first: joined as an aggregate it would tie the edges to its own partitioning, and
+    adaptive execution could not split the edges of a node that has very many.
     """
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     nodes = (
@@ -36,17 +37,20 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         # large star: every higher neighbour of a node moves to the node's lowest neighbour
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        lowest = lowest.select("b", F.least("b", "m").alias("m"))
+        lowest = materialize(lowest.select("b", F.least("b", "m").alias("m")))
         large = stars.join(lowest, "b").select("a", F.col("m").alias("b"))
         large = materialize(large.where(F.col("a") != F.col("b")).distinct())
         # small star: a node and its lower neighbours move to the lowest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where(F.col("b") != F.col("m")).select(
             F.col("b").alias("a"), F.col("m").alias("b")
         )
+        superseded = [stars, lowest, large, low]
         stars = materialize(
             small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         )
+        for table in superseded:
+            discard(table)
         after = _signature(stars)
         if after == before:
             break
