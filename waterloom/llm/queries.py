@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waterloom.llm import packing, simhash, tokens, winnow
-from waterloom.llm.common import table
+from waterloom.llm import langid, packing, quality, simhash, tokens, winnow
+from waterloom.llm.common import id_remainder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,24 @@ def op6_packing(spark, d):
 def op1_simhash_groups(spark, d):
     out = simhash.near_duplicates(table(spark, d, "documents"))
     return out.select("doc_id", "fingerprint", "component_id")
+
+
+@query("op2_language_id")
+def op2_language_id(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"),
+                      langid.predict(spark, model, "text").alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query("op3_quality")
+def op3_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, d, "labels").where(~held_out)
+    model = quality.fit(docs, labels)
+    out = docs.select("doc_id", held_out.alias("held_out"),
+                      quality.score(spark, model, "text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
