@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waterloom.llm import langid, packing, quality, simhash, tokens, winnow
+from waterloom.llm import langid, media, packing, quality, simhash, tokens, winnow
 from waterloom.llm.common import id_remainder, table
 
 QUERIES: dict = {}
@@ -81,3 +81,9 @@ def op3_quality(spark, d):
     out = docs.select("doc_id", held_out.alias("held_out"),
                       quality.score(spark, model, "text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@query("op8_media_columns")
+def op8_media_columns(spark, d):
+    index = media.store(table(spark, d, "documents"))
+    return media.read_back(index, index.media_root)
