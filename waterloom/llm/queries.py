@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waterloom.llm import langid, media, packing, quality, simhash, tokens, winnow
+from waterloom.llm import langid, lm, media, packing, quality, simhash, tokens, winnow
 from waterloom.llm.common import id_remainder, table
 
 QUERIES: dict = {}
@@ -87,3 +87,11 @@ def op3_quality(spark, d):
 def op8_media_columns(spark, d):
     index = media.store(table(spark, d, "documents"))
     return media.read_back(index, index.media_root)
+
+
+@query("op10_lm_scores")
+def op10_lm_scores(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_remainder("doc_id", 7) == 2, F.lit(False))
+    model = lm.fit(docs, ~held_out)
+    return lm.score(docs, model, held_out=held_out)
