@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waterloom.llm import langid, lm, media, packing, quality, simhash, tokens, winnow
+from waterloom.llm import (
+    langid, licenses, lm, media, packing, quality, shards, simhash, tokens, winnow,
+)
 from waterloom.llm.common import id_remainder, table
 
 QUERIES: dict = {}
@@ -95,3 +97,18 @@ def op10_lm_scores(spark, d):
     held_out = F.coalesce(id_remainder("doc_id", 7) == 2, F.lit(False))
     model = lm.fit(docs, ~held_out)
     return lm.score(docs, model, held_out=held_out)
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark, d):
+    found = licenses.scan(table(spark, d, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["template"])))
+    return found.select(
+        "doc_id", F.size("matches").cast("bigint").alias("n_matches"),
+        F.concat_ws(",", names).alias("licenses"),
+        F.array_max(F.transform("matches", lambda m: m["containment"])).alias("containment"))
+
+
+@query("op7_token_shards")
+def op7_token_shards(spark, d):
+    return shards.token_shards(table(spark, d, "documents"))
