@@ -50,22 +50,19 @@ def _kept(w: Column, span: int, gram: int) -> Column:
             lambda i: F.array_contains(F.slice(m, first(i) + 1, i - first(i) + 1), g[i]),
         )
         return F.transform(places, lambda i: F.struct(
-            F.lit(span).alias("span"), g[i].alias("hash"), i.alias("place"),
+            n.cast("bigint").alias("n_words"), F.lit(span).alias("span"), g[i].alias("hash"),
+            i.alias("place"),
             (i - first(i)).alias("inset"),
             F.slice(w, first(i) + 1, i - first(i) + k + win - 1).alias("around"),
         ))
 
-    def grams(h: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[h[i + j] for j in range(k)]))
+    grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.slice(w, i + 1, k)))
 
     def minima(g: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), n - span), lambda i: F.array_min(F.slice(g, i + 1, win)))
 
-    kept = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: let(
-        grams(h), lambda g: let(minima(g), lambda m: pick(g, m))))
-    return F.when(n >= span, kept)
+    return F.when(n >= span, let(grams, lambda g: let(minima(g), lambda m: pick(g, m))))
 
 
 def kept_grams(
@@ -75,14 +72,11 @@ def kept_grams(
 
     Texts that are null, or shorter than every span, have none.
     """
-    listed = let(words(F.col(text)), lambda w: F.struct(
-        F.size(w).cast("bigint").alias("n_words"),
-        F.flatten(F.array(*[
-            F.coalesce(_kept(w, s, gram), F.array()) for s in spans])).alias("kept"),
-    ))
-    out = df.where(F.col(text).isNotNull()).select(*keys, listed.alias("listed"))
-    return out.select(*keys, F.col("listed.n_words"), F.explode("listed.kept").alias("g")).select(
-        *keys, "n_words", "g.*")
+    kept = let(words(F.col(text)), lambda w: F.flatten(F.array(*[
+        F.coalesce(_kept(w, s, gram), F.array()) for s in spans])))
+    # outer: of an inner explode the optimizer infers filters that compute the array again
+    return df.select(*keys, F.explode_outer(kept).alias("g")).select(*keys, "g.*").where(
+        F.col("hash").isNotNull())
 
 
 def _extended(span: Column, win: Column) -> Column:
