@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import os
 import re
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from waterloom.llm.common import groups
 
 #: Different words remembered by one task; the memory is emptied beyond that, results do not change.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 #: Characters for which lower case and normal form are certain to agree between Python and the
 #: library; special-token strings begin with "<|" in every vocabulary file read here.
 UNSURE = re.compile(
@@ -48,6 +49,23 @@ def words_of(text: str) -> list[str] | None:
     return text.lower().split()
 
 
+def splitter(spec: dict):
+    """The vocabulary's own split of a word into pieces, or None where it has another form.
+
+    Holds for a chain of one pattern split that keeps the matches and a byte-level map.
+    """
+    chain = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x["type"] for x in chain] != ["Split", "ByteLevel"]:
+        return None
+    cut, mapped = chain
+    if (not cut["invert"] or cut["behavior"] != "Removed" or "Regex" not in cut["pattern"]
+            or mapped["use_regex"] or mapped["add_prefix_space"]):
+        return None
+    import regex
+
+    return regex.compile(cut["pattern"]["Regex"]).findall
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, one library call per group."""
 
@@ -56,21 +74,30 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            self.split = splitter(json.load(f)) or (lambda word: [word])
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+        """Ids of words not met before; pieces that words share are encoded once."""
+        split = list(map(self.split, words))
+        if len(self.pieces) > KNOWN_WORDS:
+            self.pieces.clear()
+        new = sorted(set(itertools.chain.from_iterable(split)).difference(self.pieces))
         step = 20_000
-        for at in range(0, len(words), step):
-            part = words[at:at + step]
+        for at in range(0, len(new), step):
+            part = new[at:at + step]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])[:-1]
             begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
-            cut = np.searchsorted(begins, starts)
+            cut = (4 * np.searchsorted(begins, starts)).tolist()
             ids = np.array(found.ids, "<u4").tobytes()
-            for w, a, b in zip(part, cut, [*cut[1:], len(begins)]):
-                self.known[w] = ids[4 * a:4 * b]
+            self.pieces.update(zip(part, map(ids.__getitem__, map(
+                slice, cut, [*cut[1:], len(ids)]))))
+        ids_of = self.pieces.__getitem__
+        self.known.update((w, ids_of(p[0]) if len(p) == 1 else b"".join(map(ids_of, p)))
+                          for w, p in zip(words, split))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for a, b in groups(texts):
@@ -79,7 +106,7 @@ class WordIds:
                 self.known.clear()
             new = set().union(*(w for w in split if w)).difference(self.known)
             if new:
-                self._learn(sorted(new))
+                self._learn(list(new))
             for text, words in zip(texts[a:b], split):
                 if words is None:
                     ids = self.tokenizer.encode(text, add_special_tokens=False).ids
