@@ -164,20 +164,32 @@ class Scanner:
         return found
 
     def verify(self, words: list[bytes], found: set[tuple[int, int]]) -> list[tuple]:
-        """(template, first word, end word, containment) of what holds enough shingles; places
-        that lie in an occurrence already given are passed over."""
+        """(template, first word, end word, containment) of every stretch, at most a quarter
+        longer than the template, that holds enough of its shingles."""
         out, upto = [], {}
         for o, at in sorted(found):
-            if at < upto.get(o, -1):
+            if at < upto.get(o, 0):
                 continue
-            k, m = self.width[o], len(self.words[o]) - self.width[o] + 1
-            lo, hi = max(0, at - m), min(len(words) - k + 1, at + 2 * m)
-            places = [(i, t) for i in range(lo, hi)
-                      if (t := tuple(words[i:i + k])) in self.sets[o]]
-            share = len({t for _, t in places}) / len(self.sets[o])
-            if share >= CONTAINMENT:
-                upto[o] = places[-1][0] + 1
-                out.append((self.names[o], places[0][0], places[-1][0] + k, share))
+            k, wanted = self.width[o], self.sets[o]
+            m = len(self.words[o]) - k + 1
+            lo, hi = max(0, at - m, upto.get(o, 0)), min(len(words) - k + 1, at + 2 * m)
+            places = [(i, t) for i in range(lo, hi) if (t := tuple(words[i:i + k])) in wanted]
+            i = 0
+            while i < len(places):
+                seen, last = set(), i  # up to the last shingle that adds something
+                for j in range(i, len(places)):
+                    if places[j][0] >= places[i][0] + m + m // 4:
+                        break
+                    if places[j][1] not in seen:
+                        seen.add(places[j][1])
+                        last = j
+                if len(seen) >= CONTAINMENT * len(wanted):
+                    upto[o] = places[last][0] + 1
+                    out.append((self.names[o], places[i][0], places[last][0] + k,
+                                len(seen) / len(wanted)))
+                    i = last + 1
+                else:
+                    i += 1
         return sorted(out)
 
     def scan(self, text: str | None) -> list[tuple]:
