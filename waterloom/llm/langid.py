@@ -50,19 +50,20 @@ def gram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A text is lower-cased and every run of other characters than letters becomes one blank.
     """
-    table, parts, sizes = letters(), [np.zeros(1, np.int64)], []
+    table, parts, sizes = letters(), [np.zeros(0, np.int64)], []
     for t in texts:
         p = code_points((t or "").lower())
-        p = np.where(table[np.minimum(p, 0x10000)], p, 32)
-        p = p[np.flatnonzero((p[1:] != 32) | (p[:-1] != 32)) + 1] if len(p) > 1 else p
-        parts += [np.array([32]), p, np.array([32, 0])]
-        sizes.append(len(p) + 3)
-    p = np.concatenate(parts).astype(np.uint64)[1:] if sizes else np.zeros(0, np.uint64)
+        p = np.concatenate([[32], np.where(table[np.minimum(p, 0x10000)], p, 32), [32]])
+        parts.append(p[np.append(True, (p[1:] != 32) | (p[:-1] != 32))])
+        sizes.append(len(parts[-1]))
+    p = np.concatenate(parts).astype(np.uint64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(p))  # characters to the text's end
     h, all_ids = p.copy(), []
     for order in range(ORDERS):
         if order:
-            h = h * np.uint64(0x9E3779B97F4A7C15) + np.concatenate(
-                [p[order:], np.zeros(min(order, len(p)), np.uint64)])
+            after = np.zeros(len(p), np.uint64)
+            after[:-order] = p[order:]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(left > order, after, np.uint64(0))
         mixed = (h + np.uint64(order + 1)) * np.uint64(0xD6E8FEB86659FD93)
         all_ids.append((mixed >> np.uint64(48)).astype(np.int64) % BUCKETS)
     ids = np.stack(all_ids, axis=1).reshape(-1) if sizes else np.zeros(0, np.int64)
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         return pd.DataFrame({"langs": [langs], "weights": [(w / t).astype("<f4").tobytes()]})
 
     chosen = sample(docs, doc_id=doc_id, text=text, lang=lang, size=size)
-    found = chosen.groupBy(F.lit(0)).applyInPandas(
+    found = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
         train, "langs array<string>, weights binary").first()
     if found is None:
         return {"langs": [], "table": np.zeros((BUCKETS, 1), np.float32)}

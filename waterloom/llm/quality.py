@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
                              "w": [m["w"].tolist()], "b": [m["b"]]})
 
     rows = sample(docs, labels, doc_id=doc_id, text=text, label=label, size=size)
-    found = rows.groupBy(F.lit(0)).applyInPandas(
+    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(
         train, "filters binary, w array<double>, b double").first()
     if found is None:
         return {"filters": np.zeros((WIDTH, 257, FILTERS), np.float32),
