@@ -90,12 +90,41 @@ def test_confidence(spark):
     assert detect.match_confidence(rows.where("field = 'demand'"), "JUNCTIONS").first()[0] < 0.5
 
 
-def test_synonym_table_is_complete():
+def test_every_field_has_words_and_no_word_twice():
+    for section in schema.REQUIRED:
+        for field in schema.all_fields(section):
+            folded = [schema.fold(w) for w in schema.synonyms(section, field)]
+            assert folded and len(folded) == len(set(folded)), (section, field)
     assert schema.fold("Node_ID") in {schema.fold(w) for w in schema.synonyms("JUNCTIONS", "id")}
     assert schema.synonyms("PIPES", "nope") == ["nope"]
-    n = sum(len(v.split()) for v in schema.COMMON_WORDS.values()) + sum(
-        len(w.split()) for s in schema.SECTION_WORDS.values() for w in s.values())
-    assert n < 200
+
+
+def test_the_earlier_word_wins_a_tie(spark):
+    # one letter from "len" and from "lng": equally similar, "len" is listed first
+    h = spark.createDataFrame([("leng",), ("lon",)], "header string")
+    got = {(r.header, r.section, r.field): r.word for r in detect.header_matches(
+        h, sections=["PIPES", "COORDINATES"]).collect()}
+    words = schema.synonyms("PIPES", "length")
+    assert words.index("len") < words.index("lng")
+    assert got["lon", "COORDINATES", "x"] == "lon"
+    scores = {w: _plain_similarity("leng", schema.fold(w)) for w in words}
+    best = max(scores.values())
+    assert got["leng", "PIPES", "length"] == next(w for w in words if scores[w] == best)
+    twice = spark.createDataFrame(
+        [("PIPES", "length", 3, "abx", 0), ("PIPES", "length", 3, "aby", 1)],
+        "section string, field string, field_ord int, word string, word_ord int")
+    one = detect.header_matches(spark.createDataFrame([("abz",)], "header string"),
+                                synonyms=twice, sections=["PIPES"]).first()
+    assert one.word == "abx"
+
+
+def _plain_similarity(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y)))
+    return 1 - rows[-1][-1] / max(len(a), len(b))
 
 
 def test_profile_and_junk(spark):

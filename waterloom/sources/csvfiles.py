@@ -74,19 +74,12 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def is_sectioned(rows: DataFrame) -> DataFrame:
-    """Per file: a section column comes first and at least two known sections are in it.
-
-    The section column is looked at on every n-th line of files beyond 200 lines.
-    """
-    sized = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    """Per file: a section column comes first and at least two known sections are in any row."""
     first = F.upper(F.element_at("cells", 1))
     header = F.lower(F.element_at("headers", 1)).isin(SECTION_COLUMN_NAMES)
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / 200))
-    sampled = (F.col("row_no") > 0) & ((F.col("row_no") - 1) % step == 0)
-    return rows.join(sized, "file").groupBy("file").agg(
-        (F.bool_and(header) & (F.count_distinct(
-            F.when(sampled & first.isin(schema.KNOWN_SECTIONS), first)) >= 2)).alias("sectioned")
-    )
+    known = F.when((F.col("row_no") > 0) & first.isin(schema.KNOWN_SECTIONS), first)
+    return rows.groupBy("file").agg(
+        (F.bool_and(header) & (F.count_distinct(known) >= 2)).alias("sectioned"))
 
 
 def section_rows(rows: DataFrame) -> DataFrame:
