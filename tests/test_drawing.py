@@ -215,3 +215,28 @@ def test_proxy(spark, tmp_path):
     assert net["pipes"].first()["length_m"] == 5.0
     assert net["labels"].first()["text"] == "Né"
     assert features.proxy_features(net).count() == 3
+
+
+def test_written_bytes(spark, tmp_path):
+    lines = {"a.dxf": b"  0\r\nSECTION\r\n  8\r\nR\xe9gard\r\n", "b.dxf": b"  8\nvoil\xe0\n\n"}
+    for name, raw in lines.items():
+        (tmp_path / name).write_bytes(raw)
+    read = read_lines(spark, str(tmp_path / "*.dxf"))
+    out = tmp_path / "out"
+    model_text.write_numbered(read.repartition(3), str(out))
+    for name, raw in lines.items():
+        parts = sorted((out / f"file={name}").glob("part-*"))
+        assert b"".join(p.read_bytes() for p in parts) == raw
+    text = spark.createDataFrame([(0, 0, 0, "Té"), (0, 1, 0, "日ü")],
+                                 "part int, row int, sub int, line string")
+    model_text.write_drawing(text, str(tmp_path / "drawing"))
+    parts = sorted((tmp_path / "drawing").glob("part-*"))
+    assert b"".join(p.read_bytes() for p in parts) == b"T\xe9\n?\xfc\n"
+    assert sorted(r.text for r in read_lines(spark, str(tmp_path / "drawing")).collect()) == [
+        "?ü", "Té"]
+    names = spark.createDataFrame([("a.dxf", "Régard", "Été")], "file string, old string, new string")
+    renamed = dxf.rename_in_lines(
+        read.withColumn("file", F.element_at(F.split("file", "/"), -1)), names.select("old", "new"))
+    model_text.write_numbered(renamed, str(tmp_path / "renamed"))
+    parts = sorted((tmp_path / "renamed" / "file=a.dxf").glob("part-*"))
+    assert b"".join(p.read_bytes() for p in parts) == lines["a.dxf"].replace(b"R\xe9gard", b"\xc9t\xe9")

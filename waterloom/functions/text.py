@@ -162,6 +162,15 @@ def latin1_bytes(value: Column) -> Column:
     return F.encode(F.regexp_replace(value, r"[^\x{00}-\x{FF}]", "?"), "ISO-8859-1")
 
 
+def latin1_text(value: Column) -> Column:
+    """A string that the text writer puts out as single bytes.
+
+    The writer copies a string's bytes as they are and has no encoding of its own, so the
+    encoded bytes are cast, not converted; the result is for writing only.
+    """
+    return latin1_bytes(value).cast("string")
+
+
 def comment_tail(line: Column, comment: Column) -> Column:
     """Append ``;comment`` to a tab-separated line, or the bare marker when there is none."""
     return F.when(

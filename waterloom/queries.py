@@ -8,6 +8,8 @@ written once and used on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ from waterloom.operators import (
 )
 from waterloom.plans import mapping, model_text, update
 from waterloom.plans.features import extent, feature_json, point_features
-from waterloom.session import materialize
+from waterloom.session import ensure_checkpoint_dir, materialize
 from waterloom.sources import csvfiles, dxf, inp
-from waterloom.sources.lines import lines_of
+from waterloom.sources.lines import lines_of, read_lines
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -856,17 +858,20 @@ def model_round_trip(spark, d):
 @query("drawing_round_trip", f"""WITH {TRACK} SELECT user_id * 2 AS layer_no, v_no,
  CAST(printf('%.6f', x) AS DOUBLE) AS x, CAST(printf('%.6f', y) AS DOUBLE) AS y FROM tr""")
 def drawing_round_trip(spark, d):
-    """Tracks -> drawing text -> tags -> entities -> vertices."""
+    """Tracks -> drawing text -> written files -> tags -> entities -> vertices."""
     line = materialize(tracks(spark, d, numbered=True)).select(
         F.col("user_id").alias("ent_no"), "v_no", "x", "y")
     heads = line.select("ent_no").distinct().select(
-        "ent_no", F.concat(F.lit("L"), (F.col("ent_no") * 2).cast("string")).alias("layer"),
+        "ent_no", F.concat(F.lit("É"), (F.col("ent_no") * 2).cast("string")).alias("layer"),
         F.lit(False).alias("closed"))
-    text_ = model_text.drawing_text(spark, polylines_=[(heads, line)])
-    lines = materialize(model_text.numbered_lines(text_))
+    path = f"{ensure_checkpoint_dir(spark)}/drawing-{uuid.uuid4().hex}"
+    model_text.write_drawing(model_text.drawing_text(spark, polylines_=[(heads, line)]), path)
+    # the part files are one text: lines of single bytes, one part after the other
+    parts = read_lines(spark, path).selectExpr("file AS part", "line_no AS row", "text AS line")
+    lines = materialize(model_text.numbered_lines(parts))
     tags = materialize(dxf.tags_from_lines(lines))
     kept = materialize(dxf.model_space(dxf.mark_entities(tags), ["LWPOLYLINE"]))
-    named = dxf.entities(kept).select("file", "ent_no", F.substring("layer", 2, 20)
+    named = dxf.entities(kept).select("file", "ent_no", F.expr("CASE WHEN layer LIKE 'É%' THEN substring(layer, 2, 20) END")
                                       .cast("bigint").alias("layer_no"))
     return dxf.vertices(kept).join(named, ["file", "ent_no"]).select("layer_no", "v_no", "x", "y")
 
