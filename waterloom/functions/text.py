@@ -33,9 +33,9 @@ DISGUISED_NULLS = [
     "missing", "unknown", "undefined", "none", "nil", "void",
 ]
 # Words a category column is made of.
-CATEGORY_WORDS = (
-    r"(?i)^(open|closed|cv|fsv|gpv|pbv|tcv|prv|psv|fcv|pump|yes|no|oui|non)$"
-)
+CATEGORY_LIST = ["open", "closed", "cv", "fsv", "gpv", "pbv", "tcv", "prv", "psv", "fcv", "pump",
+                 "yes", "no", "oui", "non"]
+CATEGORY_WORDS = rf"(?i)^({'|'.join(CATEGORY_LIST)})$"
 
 
 def fold_name(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waterloom.functions.numbers import SPACES, number, trim
-from waterloom.functions.text import CATEGORY_WORDS
+from waterloom.functions.text import CATEGORY_LIST, CATEGORY_WORDS
 from waterloom.schema import KNOWN_SECTIONS, SECTION_NAMES
 
 # Headers that name a section column and are never junk.
@@ -43,6 +43,7 @@ def column_profile(
     )
     distinct = F.approx_count_distinct("_v") if approximate else F.count_distinct("_v")
     category = F.col("_v").rlike(CATEGORY_WORDS)
+    words = [F.max(F.when(F.lower("_v") == w, F.lit(w))) for w in CATEGORY_LIST]
     out = staged.groupBy(*keys).agg(
         F.count("_v").alias("total"),
         distinct.alias("unique"),
@@ -51,8 +52,8 @@ def column_profile(
         F.max("_n").alias("max"),
         F.avg("_n").alias("mean"),
         F.coalesce(F.bool_and(category), F.lit(True)).alias("categorical"),
-        # bounded: only words of the fixed category list are collected
-        F.collect_set(F.when(category, F.lower("_v"))).alias("_words"),
+        # a value per word of the fixed list, so that the aggregation needs no objects
+        F.array_compact(F.array(*words)).alias("_words"),
     )
     share = lambda n: F.coalesce(F.try_divide(F.col(n), F.col("total")), F.lit(0.0))
     return out.withColumns(

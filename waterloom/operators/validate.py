@@ -22,7 +22,9 @@ def field_findings(
     """One row per failed check: ``by``, field, check, severity, row_no, value.
 
     ``ids`` (column ``id``) are the identifiers references may point to; without it references
-    are not checked.  Rules are a table of two dozen rows and are broadcast.
+    are not checked.  Cells are read once and meet one written row per column; only filled cells
+    of reference columns are joined with the identifiers, and only repeated values of identifier
+    columns with their first use.
     """
     by = by or []
     keys = [*by, field]
@@ -30,35 +32,23 @@ def field_findings(
     if field != "field":
         rules = rules.withColumnRenamed("field", field)
     v = F.col(value)
-    # cells are read once: the column facts and the first uses below start from a written table
     staged = materialize(cells.select(
         *keys, row_no, value, validation_text(v).alias("_text"), validation_number(v).alias("_num")
     ))
-    rows = staged.join(F.broadcast(rules), field)
     text, num, kind = F.col("_text"), F.col("_num"), F.col("kind")
     numeric = kind.isin("numeric", "integer")
     bad_number = numeric & text.isNotNull() & num.isNull()
     broken = (kind == "compound") & text.isNotNull() & ~F.coalesce(
         F.call_function("rlike", text, F.col("pattern")), F.lit(True)
     )
-    # column-level facts: one small row per column
-    facts = rows.groupBy(*keys).agg(
+    ruled = staged.join(rules, field)
+    counts = ruled.groupBy(*keys).agg(
         F.count_if(bad_number).alias("_bad"), F.count_if(broken).alias("_broken"),
         F.count("_text").alias("_filled"),
     )
-    rows = rows.join(facts, keys)
-    seen = rows.where(F.col("unique_ids") & text.isNotNull()).groupBy(*keys, "_text").agg(
-        F.min(row_no).alias("_first")
-    )
-    rows = rows.join(seen, [*keys, "_text"], "left")
-    if ids is None:
-        missing = F.lit(False)
-    else:
-        rows = rows.join(
-            ids.select(F.col("id").cast("string").alias("_text"), F.lit(True).alias("_known"))
-            .where(F.col("_text").isNotNull()).distinct(), "_text", "left",
-        )
-        missing = (kind == "id_reference") & text.isNotNull() & F.col("_known").isNull()
+    # one row per column with its rule, written: its size is known and it can be split against
+    facts = materialize(counts.join(rules, field))
+    rows = staged.join(facts, keys)
     clean = numeric & num.isNotNull() & (F.col("_bad") == 0)
     checks = [
         ("nullable", "blocking", text.isNull() & ~F.col("nullable")),
@@ -74,17 +64,31 @@ def field_findings(
                              F.upper(text))),
         ("too_long", "warning", (kind == "text") & (F.length(text) > F.col("max_length"))),
         ("compound_format", "warning", broken & (F.col("_broken") < F.col("_filled"))),
-        ("missing_ref", "blocking", missing),
-        ("duplicate_id", "blocking", F.col("_first") < F.col(row_no)),
     ]
     found = F.array_compact(F.array(*[
         F.when(F.coalesce(test, F.lit(False)),
                F.struct(F.lit(name).alias("check"), F.lit(level).alias("severity")))
         for name, level, test in checks
     ]))
-    return rows.select(*keys, row_no, value, F.inline(found)).select(
-        *keys, "check", "severity", row_no, value
-    )
+    columns = [*keys, "check", "severity", row_no, value]
+    out = [rows.select(*keys, row_no, value, F.inline(found)).select(*columns)]
+
+    def failed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, F.lit(name).alias("check"), F.lit("blocking").alias("severity"),
+                         row_no, value)
+
+    if ids is not None:
+        known = ids.select(F.col("id").cast("string").alias("_text"))
+        out.append(failed(rows.where((kind == "id_reference") & text.isNotNull())
+                          .join(known, "_text", "left_anti"), "missing_ref"))
+    unique = rows.where(F.col("unique_ids") & text.isNotNull()).select(
+        *keys, "_text", row_no, value)
+    repeated = materialize(unique.groupBy(*keys, "_text").agg(
+        F.min(row_no).alias("_first"), F.count(F.lit(1)).alias("_uses"),
+    ).where("_uses > 1").drop("_uses"))
+    out.append(failed(unique.join(repeated, [*keys, "_text"])
+                      .where(F.col("_first") < F.col(row_no)), "duplicate_id"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _rank(severity: Column) -> Column:
@@ -181,7 +185,8 @@ def split_links(
     links: DataFrame, nodes: DataFrame, ends=("node1", "node2"), node_id: str = "id"
 ) -> DataFrame:
     """Links with ``valid``: every filled end names a node."""
-    known = nodes.select(F.col(node_id)).where(F.col(node_id).isNotNull()).distinct()
+    # written, not an aggregate: adaptive execution can then split the links of a hub
+    known = materialize(nodes.select(F.col(node_id)).where(F.col(node_id).isNotNull()).distinct())
     out = links.withColumn("valid", F.lit(True))
     for end in ends:
         mark = known.select(F.col(node_id).alias(end), F.lit(True).alias("_hit"))
