@@ -8,12 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waterloom.functions.numbers import float_prefix
+from waterloom.operators.detect import ACCEPT_COLUMN, AUTO_ACCEPT, PRESELECT_TYPE
 from waterloom.operators.validate import LINK_TABLES, NODE_TABLES, reference_findings
 
-# Scores from which a table is mapped unasked, its type is chosen beforehand, and
-# a column has a suggestion.
-AUTO_ACCEPT, PRESELECT_TYPE, ACCEPT_COLUMN = 0.75, 0.85, 0.4
-
 
 def distinct_diameters(pipes: DataFrame, diameter: str = "diam") -> DataFrame:
     """Distinct non-empty diameters with their number of pipes; ``place`` is the numeric order.
