@@ -19,3 +19,24 @@ def test_intake(spark, tmp_path):
     assert rows == {("J1", "100"), ("J2", "x"), ("J3", "5")}
     found = spark.read.parquet(f"{root}/v=0/findings").collect()
     assert [(r["check"], r["value"]) for r in found] == [("type_mismatch", "x")]
+    # a version holds what its batch adds, and the stored row stays the first
+    assert [r["id"] for r in spark.read.parquet(f"{root}/v=1/elements").collect()] == ["J3"]
+    assert [r["status"] for r in spark.read.parquet(f"{root}/v=1/incoming").orderBy("id").collect()
+            ] == ["conflict", "new"]
+    arrive("c.csv", "J1,100", "J4,7")
+    again = {r["id"]: r["status"] for r in spark.read.parquet(f"{root}/v=2/incoming").collect()}
+    assert again == {"J1": "identical", "J4": "new"}
+    assert intake.load_elements(spark, root).select("row_no").distinct().count() == 4
+
+
+def test_references_meet_stored_rows(spark, tmp_path):
+    def batch(version, *rows):
+        df = spark.createDataFrame(rows, "id string, node1 string, _source string, n long")
+        df = df.selectExpr("id", "node1", "_source", f"struct({version} AS version, n) AS row_no")
+        intake.merge_batch(df, version, str(tmp_path / "t"))
+
+    batch(0, ("J1", None, "a", 0))
+    batch(1, ("P1", "J1", "b", 0), ("P2", "J9", "b", 1))
+    found = spark.read.parquet(str(tmp_path / "t" / "v=1" / "findings"))
+    assert [(r["check"], r["value"]) for r in found.where("check = 'missing_ref'").collect()] == [
+        ("missing_ref", "J9")]

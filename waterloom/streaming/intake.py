@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from waterloom.operators import validate
 from waterloom.operators.merge import merge_elements
 from waterloom.operators.profiling import to_cells
+from waterloom.schema import RULES
 from waterloom.session import materialize
 
 
-
 def _fs(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
@@ -33,32 +34,43 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(done)
 
 
+def _load(spark: SparkSession, root: str, versions: list[int]) -> DataFrame | None:
+    if not versions:
+        return None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+                  [spark.read.parquet(f"{root}/v={v}/elements") for v in versions])
+
+
 def load_elements(spark: SparkSession, root: str) -> DataFrame | None:
-    """Latest complete version of the element table."""
-    done = _versions(spark, root)
-    return spark.read.parquet(f"{root}/v={done[-1]}/elements") if done else None
+    """All rows that complete versions have added; ``row_no`` orders them over all versions."""
+    return _load(spark, root, _versions(spark, root))
 
 
 def merge_batch(batch: DataFrame, version: int, root: str, id: str = "id") -> None:
-    """Validate and merge one micro-batch into a new version of the table.
+    """Validate one micro-batch and write what it adds to the table as a version of its own.
 
-    The version is the batch number and starts from the one before, so a batch that runs again
-    after a failure writes the same version from the same start.  The element table comes last:
-    a version counts once it is complete.
+    Nothing stored is written again: a version holds the rows its batch adds.  It is the batch
+    number and starts from those before, so a batch that runs again after a failure writes the
+    same version from the same start.  The added rows come last: a version counts once they are
+    complete.  References are checked against stored and incoming identifiers together.
     """
     spark = batch.sparkSession
     batch = materialize(batch)  # row numbers must stay the same for every use
-    done = [v for v in _versions(spark, root) if v < version]
-    stored = spark.read.parquet(f"{root}/v={done[-1]}/elements") if done else batch.limit(0)
+    stored = _load(spark, root, [v for v in _versions(spark, root) if v < version])
+    stored = batch.limit(0) if stored is None else stored
     result = merge_elements(stored, batch, id=id)
+    judged = materialize(result.incoming.drop("existing"))
     values = [c for c in batch.columns if c not in ("row_no", "_source")]
     cells = to_cells(batch.select("row_no", "_source", *[F.col(c).cast("string") for c in values]),
                      "row_no", ["_source"]).withColumnRenamed("header", "field")
-    found = validate.field_findings(cells, ["_source"])
+    known = stored.select(F.col(id).alias("id")).unionByName(batch.select(F.col(id).alias("id")))
+    refers = any(RULES.get(c, {}).get("kind") == "id_reference" for c in values)
+    found = validate.field_findings(cells, ["_source"], ids=known if refers else None)
     folder = f"{root}/v={version}"
     found.write.mode("overwrite").parquet(f"{folder}/findings")
-    result.incoming.drop("existing").write.mode("overwrite").parquet(f"{folder}/incoming")
-    result.elements.write.mode("overwrite").parquet(f"{folder}/elements")
+    judged.write.mode("overwrite").parquet(f"{folder}/incoming")
+    judged.where(F.col("status").isin("new", "compatible")).drop("status").write.mode(
+        "overwrite").parquet(f"{folder}/elements")
 
 
 def start_intake(
@@ -75,7 +87,8 @@ def start_intake(
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("row_no", F.monotonically_increasing_id())
+        batch = batch.withColumn("row_no", F.struct(
+            F.lit(batch_id).alias("version"), F.monotonically_increasing_id().alias("n")))
         merge_batch(prepare(batch) if prepare else batch, batch_id, root)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
