@@ -1,5 +1,7 @@
 """Drawing scan and network plan on a small drawing written by the test."""
 
+import random
+import re
 import struct
 
 import pytest
@@ -240,3 +242,37 @@ def test_written_bytes(spark, tmp_path):
     model_text.write_numbered(renamed, str(tmp_path / "renamed"))
     parts = sorted((tmp_path / "renamed" / "file=a.dxf").glob("part-*"))
     assert b"".join(p.read_bytes() for p in parts) == lines["a.dxf"].replace(b"R\xe9gard", b"\xc9t\xe9")
+
+
+def test_tags_by_split_are_tags_in_sequence(spark, tmp_path):
+    rnd = random.Random(9)
+    for i in range(4):
+        lines = [rnd.choice([str(rnd.randint(0, 99)), " 7", "text", "", "8x", "R\xe9"])
+                 for _ in range(400)]
+        lines[-1] = "end"  # an empty last line without an end is no line
+        lines[100:160] = [str(rnd.randint(0, 9)) for _ in range(60)]  # a split without any text
+        (tmp_path / f"{i}.dxf").write_bytes("\r\n".join(lines).encode("latin-1"))
+    want = set()
+    for f in tmp_path.glob("*.dxf"):
+        lines, i = f.read_bytes().decode("latin-1").split("\r\n"), 0
+        while i < len(lines):
+            code = re.match(r"\s*([+-]?[0-9]+)", lines[i])
+            if code and i + 1 < len(lines):
+                want.add((f.name, i, int(code[1]), lines[i + 1]))
+            i += 2 if code else 1
+    before = {k: spark.conf.get(k) for k in (
+        "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    held = dxf.HELD_SPLITS
+    try:
+        for size, rows, few in (("128m", "10000", held), ("100b", "10000", held),
+                                ("100b", "3", held), ("150b", "7", 0)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            dxf.HELD_SPLITS = few
+            got = [(r.file.split("/")[-1], r.tag_no, r.code, r.value)
+                   for r in dxf.read_tags(spark, str(tmp_path / "*.dxf")).collect()]
+            assert len(got) == len(want) and set(got) == want
+    finally:
+        dxf.HELD_SPLITS = held
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -5,12 +5,18 @@ Vertices stay in long form (file, ent_no, v_no, x, y); no polyline is collected
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waterloom.functions.numbers import float_prefix, int_prefix, trim
 from waterloom.operators.ordered import Sequence
-from waterloom.sources.lines import read_lines
+from waterloom.session import materialize
+from waterloom.sources.lines import scanned_lines
 
 # Entity types and layers the selective scan keeps.
 ENTITY_TYPES = ["INSERT", "LWPOLYLINE", "MTEXT", "TEXT", "LINE"]
@@ -53,8 +59,84 @@ def tags_from_lines(lines: DataFrame) -> DataFrame:
              "value", *keep)
 
 
+#: Splits whose starts every task may hold; more are joined and sorted instead.
+HELD_SPLITS = 100_000
+TAG = "file string, block bigint, tag_no bigint, code int, value string"
+
+
+def _split_starts(raw: DataFrame) -> DataFrame:
+    """Per split: its first line number, the last line before it that is no number, and the
+    first line of the split that follows."""
+    splits = raw.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("_lines"), F.min("_mid").alias("_first"),
+        F.max(F.when(F.col("code").isNull(), F.col("_mid"))).alias("_last_text"),
+        F.min_by("text", "_mid").alias("_head"),
+    )
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.withColumn("_at", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    reset = F.col("_at") + F.col("_last_text") - F.col("_first")
+    return numbered.withColumn("_reset", reset).select(
+        "file", "block", "_at", "_first", (F.col("_at") + F.col("_lines") - 1).alias("_end"),
+        F.coalesce(F.last("_reset", ignorenulls=True).over(before), F.lit(-1)).alias("_reset"),
+        F.lead("_head").over(order).alias("_next"),
+    )
+
+
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair codes with the lines after them, over lines in order, splits one after the other.
+
+    What is carried from batch to batch is the place of the last line that is no number and the
+    last line itself, whose value may open the next batch.
+    """
+    reset = -1
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        line, at, end, entry = (batch[c].to_numpy() for c in ("line", "_at", "_end", "_reset"))
+        plain = batch["code"].is_null().to_numpy(zero_copy_only=False)
+        n = len(line)
+        known = np.full(n, np.iinfo(np.int64).min)
+        known[1:][plain[:-1]] = line[:-1][plain[:-1]]
+        first = line == at
+        known[first] = entry[first]
+        if not first[0]:
+            known[0] = reset
+        latest = np.maximum.accumulate(np.where(known != np.iinfo(np.int64).min, np.arange(n), 0))
+        last = known[latest]
+        open_ = line[-1] != end[-1]  # the last line waits for its value
+        use = ~plain & ((line - last - 1) % 2 == 0)
+        use[-1] &= not open_
+        closing = pa.array(line == end)
+        shifted = pa.concat_arrays([batch["text"].slice(1), pa.nulls(1, pa.string())])
+        value = pc.if_else(closing, batch["_next"], shifted)
+        mask = pc.and_(pa.array(use), pc.is_valid(value))
+        yield pa.RecordBatch.from_arrays(
+            [batch["file"].filter(mask), batch["block"].filter(mask), batch["line"].filter(mask),
+             batch["code"].filter(mask).cast(pa.int32(), safe=False), value.filter(mask)],
+            names=["file", "block", "tag_no", "code", "value"])
+        held = batch.slice(n - 1) if open_ else None
+        reset = int(last[-1])
+
+
 def read_tags(spark: SparkSession, path) -> DataFrame:
-    return tags_from_lines(read_lines(spark, path))
+    """Tags of one or many drawings: file, tag_no, code, value, block.
+
+    The text is read twice and never shuffled or sorted: one aggregate gives each split its first
+    line number and the role of its first line, then every task pairs the lines it reads.
+    """
+    raw = scanned_lines(spark, path).withColumn("code", int_prefix(F.col("text")))
+    starts = materialize(_split_starts(raw))
+    few = starts.count() <= HELD_SPLITS
+    joined = raw.join(F.broadcast(starts) if few else starts, ["file", "block"]).select(
+        "file", "block", (F.col("_at") + F.col("_mid") - F.col("_first")).alias("line"), "code",
+        "text", "_at", "_end", "_reset", "_next")
+    if not few:
+        joined = joined.repartition("file", "block").sortWithinPartitions("file", "line")
+    return joined.mapInArrow(_pair, TAG).select("file", "tag_no", "code", "value", "block")
 
 
 def section_spans(tags: DataFrame) -> DataFrame:

@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def scanned_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines as the scan gives them: file, block (offset of the split), _mid (order in the
+    split), text (Latin-1, without line end) and ending (``\\r\\n`` or ``\\n``)."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_mid"),
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("_raw"),
+    )
+    crlf = F.col("_raw").endswith("\r")
+    return raw.select(
+        "file", "block", "_mid",
+        F.when(crlf, F.expr("substring(_raw, 1, length(_raw) - 1)")).otherwise(F.col("_raw"))
+        .alias("text"),
+        F.when(crlf, F.lit("\r\n")).otherwise(F.lit("\n")).alias("ending"),
+    )
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Lines of one or many single-byte (Latin-1) text files.
 
@@ -14,12 +32,7 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     is the position in the split plus the line count of the splits before it, so no line is
     moved or sorted to be numbered.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_mid"),
-        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("_raw"),
-    )
+    raw = scanned_lines(spark, path)
     splits = raw.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_mid").alias("_first")
     )
@@ -27,12 +40,9 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     starts = splits.select(
         "file", "block", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_at")
     )
-    crlf = F.col("_raw").endswith("\r")
     return raw.join(starts, ["file", "block"]).select(
         "file", "block", (F.col("_at") + F.col("_mid") - F.col("_first")).alias("line_no"),
-        F.when(crlf, F.expr("substring(_raw, 1, length(_raw) - 1)")).otherwise(F.col("_raw"))
-        .alias("text"),
-        F.when(crlf, F.lit("\r\n")).otherwise(F.lit("\n")).alias("ending"),
+        "text", "ending",
     )
 
 
