@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from waterloom.functions import crs
 from waterloom.operators import graph, matching, ordered, spatial
 
 
@@ -234,3 +235,46 @@ def test_encounter_ids(spark):
         spark.createDataFrame(rows, "k string, i long"), ["k"], ["i"], "J", hot_rows=2
     )
     assert {r["k"]: r["id"] for r in got.collect()} == {"b": "J1", "a": "J2", "c": "J3"}
+
+
+@pytest.mark.parametrize("code", crs.CODES)
+def test_projections_in_absolute_terms(spark, code):
+    """A projection is fixed by its origin, its scale on one line, and being conformal: all three
+    are tested by differences, without any formula of the library."""
+    if code in crs.UTM_ZONES:
+        a, f, lon0, lat0 = 6378137.0, 1 / 298.257223563, crs.UTM_ZONES[code] * 6 - 183.0, 0.0
+        k0, origin = 0.9996, (500000.0, 0.0)
+        lats, lons = [0.0, 20.0, 36.5, 45.0, 60.0], [0.0, 0.5, 2.0, -2.9]
+    else:
+        a, f, lon0, lat0 = 6378249.145, 1 / 293.4663, 2.7, 36.0
+        k0, origin = 0.999625544, (500135.0, 300090.0)
+        lats, lons = [34.0, 36.0, 37.5], [0.0, 1.0, -4.0]
+    h, e2 = 1e-4, f * (2 - f)
+    spots = [(lon0 + dx + i * h, lat + j * h, dx, lat, i, j) for lat in lats for dx in lons
+             for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))] + [
+        (lon0, lat0, None, None, 9, 9)]
+    df = spark.createDataFrame(spots, "lon double, lat double, dx double, at double, i int, j int")
+    p = crs.from_lonlat(F.col("lon"), F.col("lat"), code)
+    got = {(r.dx, r.at, r.i, r.j): (r.p.x, r.p.y) for r in df.withColumn("p", p).collect()}
+    assert got[None, None, 9, 9] == pytest.approx(origin, abs=1e-4)
+    for lat in lats:
+        s2 = math.sin(math.radians(lat)) ** 2
+        nu = a / math.sqrt(1 - e2 * s2)
+        rho = a * (1 - e2) / (1 - e2 * s2) ** 1.5
+        step = math.radians(2 * h)
+        for dx in lons:
+            (x1, y1), (x0, y0) = got[dx, lat, 1, 0], got[dx, lat, -1, 0]
+            (u1, v1), (u0, v0) = got[dx, lat, 0, 1], got[dx, lat, 0, -1]
+            east = complex(x1 - x0, y1 - y0) / (nu * math.cos(math.radians(lat)) * step)
+            north = complex(u1 - u0, v1 - v0) / (rho * step)
+            assert abs(north - east * 1j) < 1e-6  # a quarter turn apart at the same scale
+            on_line = dx == 0.0 if code in crs.UTM_ZONES else lat == lat0
+            if on_line:
+                assert abs(north) == pytest.approx(k0, abs=1e-7)
+
+
+def test_published_meridian_arc(spark):
+    """Quarter meridian of WGS 84: 10,001,965.729 m."""
+    df = spark.createDataFrame([(3.0, 90.0 - 1e-9)], "lon double, lat double")
+    y = df.select(crs.from_lonlat(F.col("lon"), F.col("lat"))["y"]).first()[0]
+    assert y / 0.9996 == pytest.approx(10001965.729, abs=0.002)
