@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waterloom import schema
+from waterloom.sources import csvfiles
 from waterloom.operators import detect, merge, profiling, validate
 
 FILES = {
@@ -257,3 +258,12 @@ def test_differences(spark):
     b = spark.createDataFrame([(1, "x", 2.5), (2, None, 3.0)], "id int, a string, b double")
     got = {(r["id"], r["field"]) for r in merge.field_differences(a, b, ["id"]).collect()}
     assert got == {(1, "b"), (2, "a")}
+
+
+def test_blank_lines_have_no_row_number(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n\nid;elevation\n\nJ1;5\n  \nJ2;7\n")
+    (tmp_path / "b.csv").write_text("id,elevation\nJ3,1\n")
+    rows = csvfiles.read_rows(spark, str(tmp_path / "*.csv"))
+    got = sorted((r.file[-5], r.row_no, r.cells) for r in rows.collect())
+    assert got == [("a", 0, ["id", "elevation"]), ("a", 1, ["J1", "5"]), ("a", 2, ["J2", "7"]),
+                   ("b", 0, ["id", "elevation"]), ("b", 1, ["J3", "1"])]

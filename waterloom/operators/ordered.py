@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from waterloom.session import materialize
 
 HOT_ROWS = 1_000_000
-MAX_SLICES = 20_000
 _SLICE = "_slice"
 
 
@@ -49,7 +48,7 @@ class Sequence:
             _sliced = biggest > hot_rows
             if _sliced:
                 total = biggest if not self.keys else df.count()
-                slices = min(MAX_SLICES, max(2, -(-total // hot_rows) * 2))
+                slices = max(2, -(-total // hot_rows) * 2)
                 df = materialize(
                     df.repartitionByRange(
                         slices, *[F.col(k) for k in self.keys], *self._order_cols()

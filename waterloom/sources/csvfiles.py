@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from waterloom import schema
 from waterloom.functions.numbers import float_prefix, number, or_default, text_or, trim
 from waterloom.functions.text import drop_comment_cell, number_text, parse_label
+from waterloom.operators.ordered import Sequence
 from waterloom.operators.profiling import junk_columns
+from waterloom.session import materialize
 from waterloom.sources.lines import read_lines
 
 # Delimiters in order of preference and headers of a section column.
@@ -31,8 +33,7 @@ def delimiter_of(header: Column) -> Column:
 def rows_of(lines: DataFrame, utf8: bool = True) -> DataFrame:
     """Non-blank lines split by their file's delimiter: file, row_no (header is 0), cells.
 
-    Files are told apart by their header line, which is broadcast-small per file; the line
-    number inside the file orders the rows.
+    Blank lines have no number; lines read split by split are numbered split by split.
     """
     text = F.col("text")
     if utf8:
@@ -40,14 +41,17 @@ def rows_of(lines: DataFrame, utf8: bool = True) -> DataFrame:
     kept = lines.withColumn("text", F.regexp_replace(text, r"^\x{FEFF}", "")).where(
         trim(F.col("text")) != ""
     )
-    heads = kept.groupBy("file").agg(
-        F.min_by("text", "line_no").alias("_header"), F.min("line_no").alias("_first")
-    ).withColumn("delimiter", delimiter_of(F.col("_header")))
+    # written: one row per file whose size is known, so that a big file's lines can be split
+    heads = materialize(kept.groupBy("file").agg(
+        F.min_by("text", "line_no").alias("_header")
+    ).withColumn("delimiter", delimiter_of(F.col("_header"))))
+    kept = Sequence(kept, "file", "line_no", slice_by="block" if "block" in kept.columns else None
+                    ).row_number("_n").df
     split = F.transform(
         F.split(F.col("text"), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))), trim
     )
     return kept.join(heads, "file").select(
-        "file", (F.col("line_no") - F.col("_first")).alias("row_no"), split.alias("cells"),
+        "file", (F.col("_n") - 1).alias("row_no"), split.alias("cells"),
         "delimiter", F.transform(
             F.split(F.col("_header"), F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E"))),
             trim).alias("headers"),
