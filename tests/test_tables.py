@@ -267,3 +267,15 @@ def test_blank_lines_have_no_row_number(spark, tmp_path):
     got = sorted((r.file[-5], r.row_no, r.cells) for r in rows.collect())
     assert got == [("a", 0, ["id", "elevation"]), ("a", 1, ["J1", "5"]), ("a", 2, ["J2", "7"]),
                    ("b", 0, ["id", "elevation"]), ("b", 1, ["J3", "1"])]
+
+
+def test_similar_ids_by_kind_are_those_of_all_pairs(spark):
+    stored = [("pipe", f"P-{i}") for i in range(40)] + [("node", "J511"), ("node", "J5"), ("node", ""),
+                                                       ("node", "Conduite principale"), ("pipe", "J511")]
+    new = [("node", "J-511"), ("pipe", "P-3x"), ("node", "conduite principal"), ("pipe", "")]
+    a = spark.createDataFrame(stored, "kind string, id string")
+    b = spark.createDataFrame(new, "kind string, new_id string")
+    got = {(r.id, r.new_id) for r in detect.similar_ids(a, b, keys=["kind"]).collect()}
+    pairs = a.withColumnRenamed("kind", "k").join(b, F.col("k") == F.col("kind")).withColumn(
+        "s", detect.similarity(F.col("new_id"), F.col("id"))).where("s > 0.7 AND s < 1 AND id <> ''")
+    assert got == {(r.id, r.new_id) for r in pairs.collect()} and ("J511", "J-511") in got
