@@ -202,14 +202,15 @@ SEG = {"x2": f"({SX}) + (s_suppkey % 13) * 40.0", "y2": f"({SY}) + (s_suppkey %
  ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ll)) END AS t FROM l),
  e AS (SELECT c_custkey, s_suppkey, sqrt((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) +
  (py - ay - t * (by_ - ay)) * (py - ay - t * (by_ - ay))) AS d FROM t)
- SELECT c_custkey, {R('min(d)')} AS distance FROM e GROUP BY c_custkey""")
+ SELECT c_custkey, min_by(s_suppkey, (d, s_suppkey)) AS s_suppkey, {R('min(d)')} AS distance
+ FROM e GROUP BY c_custkey""")
 def nearest_segment(spark, d):
     pieces = table(spark, d, "supplier").select(
         "s_suppkey", F.expr(SX).alias("x1"), F.expr(SY).alias("y1"),
         *[F.expr(e).alias(c) for c, e in SEG.items()])
     out = spatial.nearest_segment(customers_at(spark, d), pieces, probe_key="c_custkey",
                                   segment_key="s_suppkey", order="s_suppkey")
-    return out.select("c_custkey", r4("distance").alias("distance"))
+    return out.select("c_custkey", "s_suppkey", r4("distance").alias("distance"))
 
 
 @query("nearest_value", f"""WITH c AS (SELECT c_custkey, c_acctbal AS a FROM customer),
@@ -790,15 +791,6 @@ def project_stats(spark, d):
     return merge.project_stats(all_.withColumn("kind", F.lit("junctions")))
 
 
-@query("merge_key_values", """SELECT user_id, event_type, max_by(value, (ts, event_id)) AS value FROM events
- GROUP BY 1, 2""")
-def merge_key_values(spark, d):
-    e = table(spark, d, "events").withColumn("row_no", F.struct("ts", "event_id"))
-    early = e.where(F.col("event_id") < 0)
-    return merge.merge_key_values(early, e, ["user_id", "event_type"]).select(
-        "user_id", "event_type", "value")
-
-
 @query("field_differences", f"""WITH {MERGED} SELECT s.id, 'elevation' AS field FROM s JOIN (SELECT id,
  elevation FROM i) i ON i.id = s.id WHERE s.elevation <> i.elevation""")
 def field_differences(spark, d):
@@ -835,9 +827,11 @@ def delete_nodes(spark, d):
 # ---- files and coordinates ---------------------------------------------------------------
 
 
-@query("model_round_trip", f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS node1,
+@query("model_round_trip", f"""SELECT 'pipe' AS kind, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS node1,
  CAST(o_orderkey % 2000 AS VARCHAR) AS node2, CAST(printf('%.4f', o_totalprice / 7) AS DOUBLE) AS length,
- CAST(printf('%.1f', o_custkey % 90 + 10.0) AS DOUBLE) AS diameter, 'Open' AS status FROM orders""")
+ CAST(printf('%.1f', o_custkey % 90 + 10.0) AS DOUBLE) AS diameter, 'Open' AS status FROM orders UNION ALL
+ SELECT 'junction', CAST(c_custkey AS VARCHAR), NULL, NULL, CAST(printf('%.3f', c_acctbal) AS DOUBLE), NULL, NULL
+ FROM customer""")
 def model_round_trip(spark, d):
     """Element tables -> model text -> sections -> tables."""
     o = table(spark, d, "orders")
@@ -851,8 +845,12 @@ def model_round_trip(spark, d):
         F.col("c_acctbal").alias("elevation"))
     text_ = model_text.table_model(spark, {"junctions": nodes, "pipes": pipes})
     lines = materialize(model_text.numbered_lines(text_))
-    back = inp.model_tables(inp.sections(lines))["pipes"]
-    return back.select("id", "node1", "node2", "length", "diameter", "status")
+    back = inp.model_tables(inp.sections(lines))
+    pipes = back["pipes"].select(
+        F.lit("pipe").alias("kind"), "id", "node1", "node2", "length", "diameter", "status")
+    return pipes.unionByName(back["junctions"].select(
+        F.lit("junction").alias("kind"), "id", F.col("elevation").alias("length")),
+        allowMissingColumns=True)
 
 
 @query("drawing_round_trip", f"""WITH {TRACK} SELECT user_id * 2 AS layer_no, v_no,

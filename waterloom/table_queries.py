@@ -96,9 +96,9 @@ def whole_numbers(spark, d):
     return validate.field_findings(cells, rules=rules)
 
 
-@query("stored_then_incoming", """WITH e AS (SELECT *, event_id % 3 = 0 AS late FROM events)
+@query("merge_key_values", """WITH e AS (SELECT *, event_id % 3 = 0 AS late FROM events)
  SELECT user_id, event_type, max_by(value, (late, ts, event_id)) AS value FROM e GROUP BY 1, 2""")
-def stored_then_incoming(spark, d):
+def merge_key_values(spark, d):
     """Both sides filled: an incoming value wins over a stored one that is later in time."""
     e = table(spark, d, "events").withColumn("row_no", F.struct("ts", "event_id"))
     late = F.col("event_id") % 3 == 0
