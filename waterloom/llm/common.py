@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from waterloom.session import ensure_checkpoint_dir
 
 #: Texts handled together inside a task, in characters; bounds a task's memory, not the result.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
+#: Rows a Python worker gets at a time: texts are long.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def bound_batches(spark: SparkSession | None = None) -> None:
+    """Let Python workers get at most ``BATCH_ROWS`` rows at a time, if that is less than now.
+
+    The session's own bound in bytes holds as well; results do not depend on either.
+    """
+    conf = (spark or SparkSession.active()).conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession, stem: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import groups
+from waterloom.llm.common import bound_batches, groups
 
 BUCKETS = 1 << 16
 ORDERS = 3
@@ -27,6 +27,9 @@ SAMPLE = 4000
 #: Passes of the leader over the sample, its learning rate and its penalties.
 PASSES, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.002, 0.002
 UNKNOWN = "und"
+#: Characters whose n-grams are held together; a longer text is taken in pieces of this many,
+#: whose n-grams add up (those across a cut are left out).
+SPAN = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -71,18 +74,26 @@ def gram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, starts
 
 
+def pieces(text: str | None) -> list[str]:
+    """The text, or consecutive pieces of at most ``SPAN`` characters that make it up."""
+    text = text or ""
+    return [text[i:i + SPAN] for i in range(0, max(len(text), 1), SPAN)]
+
+
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """``bucket`` and the number of documents that have it; bucket -1 counts all documents."""
 
+    bound_batches(docs.sparkSession)
+
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for frame in parts:
-            texts = frame["text"].tolist()
-            for a, b in groups(texts):
-                ids, starts = gram_ids(texts[a:b])
-                for x, y in zip(starts, starts[1:]):
-                    total += np.bincount(ids[x:y], minlength=BUCKETS) > 0
-                n += b - a
+            for t in frame["text"]:
+                seen = np.zeros(BUCKETS, bool)
+                for piece in pieces(t):
+                    seen[gram_ids([piece])[0]] = True
+                total += seen
+                n += 1
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(used, -1), "docs": np.append(total[used], n)})
 
@@ -112,9 +123,9 @@ def sample(docs: DataFrame, *, doc_id: str, text: str, lang: str, size: int) ->
 def _rows(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for t in texts:
-        ids, _ = gram_ids([t])
-        used, n = np.unique(ids, return_counts=True)
-        out.append((used, n / max(1, len(ids)) * idf[used]))
+        counts = sum(np.bincount(gram_ids([p])[0], minlength=BUCKETS) for p in pieces(t))
+        used = np.flatnonzero(counts)
+        out.append((used, counts[used] / counts.sum() * idf[used]))
     return out
 
 
@@ -193,12 +204,14 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
 def score_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     langs, out, score = model["langs"], [], np.zeros(len(texts))
-    for a, b in groups(texts):
+    for a, b in groups(texts, SPAN):
         part = texts[a:b]
-        ids, starts = gram_ids(part)
-        sums = np.add.reduceat(model["table"].take(ids, axis=0), starts[:-1], axis=0,
-                               dtype=np.float64)
-        s = sums / np.maximum(1, np.diff(starts))[:, None]
+        sums, sizes = 0.0, 0
+        for piece in ([p] for p in pieces(part[0])) if len(part) == 1 else (part,):
+            ids, starts = gram_ids(piece)
+            sums = sums + np.add.reduceat(model["table"].take(ids, axis=0), starts[:-1], axis=0)
+            sizes = sizes + np.diff(starts)
+        s = np.asarray(sums, np.float64) / np.maximum(1, sizes)[:, None]
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -215,6 +228,7 @@ def predict(spark, model: dict, text: Column | str) -> Column:
     Null texts and texts without a letter are ``und`` with score 0; ties take the first language
     in alphabetical order.  Only the text is read.
     """
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS rows by the languages of the sample
 
     @F.pandas_udf("lang_pred string, score double")

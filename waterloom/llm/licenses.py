@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import groups
+from waterloom.llm.common import bound_batches, groups
 
 SHINGLE = 5
 BANDS = 16
@@ -213,6 +213,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id",
     and null ids stay.  Templates are an argument of the caller, taken in runs of at most
     ``TEMPLATE_CHARS`` characters, one column each.
     """
+    bound_batches(docs.sparkSession)
     listed = [(str(n), str(t)) for n, t in templates]
     runs = [tuple(listed[a:b]) for a, b in groups([t for _, t in listed], TEMPLATE_CHARS)]
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import attempt_name, open_store, shared_folder
+from waterloom.llm.common import attempt_name, bound_batches, open_store, shared_folder
 from waterloom.session import materialize
 
 ROW = 576
@@ -101,6 +101,7 @@ def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     root = folder or shared_folder(spark, "media")
+    bound_batches(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
 

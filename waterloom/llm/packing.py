@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waterloom.llm.common import bound_batches
 from waterloom.llm.tokens import default_vocabulary, word_ids
 from waterloom.session import materialize
 
@@ -40,6 +41,7 @@ def pieces(
     repeat are packed each; a null id stays null.  Extra columns are not read.
     """
     path = vocabulary or default_vocabulary()
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = PIECE.format(id=own.schema["doc_id"].dataType.simpleString())
     end = np.array([end_id], "<u4").tobytes()

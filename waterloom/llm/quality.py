@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import groups
+from waterloom.llm.common import bound_batches, groups
 
 WIDTH = 4
 FILTERS = 8
@@ -198,6 +198,7 @@ def score(spark, model: dict, text: Column | str) -> Column:
     Null and empty texts have a score too, that of a text of padding.  Only the text is read, so
     equal texts have equal scores.
     """
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # a few thousand weights
 
     @F.pandas_udf("double")

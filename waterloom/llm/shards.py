@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import attempt_name, open_store, shared_folder
+from waterloom.llm.common import attempt_name, bound_batches, open_store, shared_folder
 from waterloom.llm.tokens import default_vocabulary, word_ids
 from waterloom.session import materialize
 
@@ -61,6 +61,7 @@ def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
     ``doc_ids`` names the documents with a token in the sequence, at most ``length``.
     """
     path = vocabulary or default_vocabulary()
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     stride, cell = length * width, f"<u{width}"

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import fresh
+from waterloom.llm.common import bound_batches, fresh
 from waterloom.operators.graph import components
 from waterloom.session import materialize
 
@@ -55,6 +55,7 @@ def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
 def fingerprint(text: Column | str) -> Column:
     """64-bit fingerprint (bigint).  Null, empty and white-space texts: zero; fewer words than a
     shingle: the hash of them all.  Works through long texts in chunks."""
+    bound_batches()
 
     @F.pandas_udf("bigint")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waterloom.llm.common import groups
+from waterloom.llm.common import bound_batches, groups
 
 #: Different words remembered by one task; the memory is emptied beyond that, results do not change.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 #: Characters for which lower case and normal form are certain to agree between Python and the
 #: library; special-token strings begin with "<|" in every vocabulary file read here.
 UNSURE = re.compile(
@@ -213,6 +213,7 @@ def token_count(text: Column | str, vocabulary: str | None = None) -> Column:
     Equal texts give equal counts; no other column is read, so clashing names cannot matter.
     """
     path = vocabulary or default_vocabulary()
+    bound_batches()
 
     @F.pandas_udf("bigint")
     def counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
