@@ -104,6 +104,20 @@ def test_scan_finds_what_brute_force_finds(spark):
     assert licenses.scan(df.limit(0), templates).count() == 0
 
 
+def test_short_texts_and_slices(monkeypatch):
+    notice = dict(licenses.TEMPLATES)["gpl-3.0-notice"]
+    cut = " ".join(notice.split()[1:])  # seven of eight shingles, shorter than the window
+    long_ = "w " * 3000 + notice + " w" * 3000
+    texts = [cut, "", None, cut, "x " * 50, long_]
+    s = licenses.Scanner(list(licenses.TEMPLATES))
+    alone = [s.scan([t])[0] for t in texts]
+    assert [[m[0] for m in found] for found in alone] == [
+        ["gpl-3.0-notice"], [], [], ["gpl-3.0-notice"], [], ["gpl-3.0-notice"]]
+    assert s.scan(texts) == alone
+    monkeypatch.setattr(licenses, "SLICE_WORDS", 64)
+    assert s.scan(texts) == alone
+
+
 def test_several_runs_of_templates_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(t for _, t in licenses.TEMPLATES))],
                                  "doc_id long, text string")

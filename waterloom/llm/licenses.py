@@ -13,6 +13,7 @@ hold at least ``CONTAINMENT`` of the template's shingles.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ CONTAINMENT = 0.8
 #: Bound of the templates every task holds, in characters; more are scanned in several passes.
 TEMPLATE_CHARS = 4_000_000
 KNOWN_WORDS = 500_000
+#: Characters of texts searched together, and words of a search slice; bounds of memory only.
+GROUP_CHARS, SLICE_WORDS = 1 << 18, 1 << 16
 #: Short notices and the standard headers of public licenses.
 TEMPLATES = (
     ("mit-notice", "Released under the MIT License."),
@@ -137,31 +140,33 @@ class Scanner:
         self.first = {k: Keys(v) for k, v in firsts.items()}
         self.windows = {k: Keys(v) for k, v in wide.items()}
         self.sizes = sorted({size for size, _ in self.windows})
+        self.reach = max(self.sizes, default=0)
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
     def candidates(self, numbers: np.ndarray) -> set[tuple[int, int]]:
-        """(template, place of a shingle) pairs that a minimum retrieves."""
-        found = set()
+        """(template, place of a shingle) pairs that a minimum retrieves, slice by slice."""
+        found, reach = set(), self.reach + SHINGLE
+        for at in range(0, len(numbers), SLICE_WORDS):
+            part = numbers[at:at + SLICE_WORDS + reach]
+            found.update((o, at + i) for o, i in self._candidates(part))
+        return found
+
+    def _candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
         for k, keys in self.first.items():
             h = shingle_hashes(numbers, k)
-            found.update(keys.find(h, np.arange(len(h))))
+            yield from keys.find(h, np.arange(len(h)))
         if not self.sizes:
-            return found
+            return
         h = shingle_hashes(numbers, SHINGLE)
         for band in range(self.bands):
             m, s = _permutation(band, h), 1
             for size in self.sizes:
-                while s < size and len(m):
+                while s < size:
                     m, s = _widen(m, s), 2 * s
                 hop = max(1, size // 4)
-                picked = m[::hop]
-                if len(m) and (len(m) - 1) % hop:  # the last window, so that no end is left out
-                    picked = np.append(picked, m[-1])
-                places = np.minimum(np.arange(len(picked)) * hop, max(len(m) - 1, 0))
-                found.update(self.windows[size, band].find(picked, places))
-        return found
+                yield from self.windows[size, band].find(m[::hop], np.arange(0, len(m), hop))
 
     def verify(self, words: list[bytes], found: set[tuple[int, int]]) -> list[tuple]:
         """(template, first word, end word, containment) of every stretch, at most a quarter
@@ -192,11 +197,30 @@ class Scanner:
                     i += 1
         return sorted(out)
 
-    def scan(self, text: str | None) -> list[tuple]:
-        words = words_of(text)
-        if len(self.hashes) > KNOWN_WORDS:
-            self.hashes.clear()
-        return self.verify(words, self.candidates(self._numbers(words)))
+    def scan(self, texts: list[str | None]) -> list[list[tuple]]:
+        """Occurrences in each text.  Texts are searched together, one after the other with a gap
+        between them, so a window may begin before or end behind a short text; what is verified
+        lies in one text."""
+        out = []
+        for a, b in groups(texts, GROUP_CHARS):
+            listed = [words_of(t) for t in texts[a:b]]
+            if len(self.hashes) > KNOWN_WORDS:
+                self.hashes.clear()
+            gap, parts, starts, at = np.zeros(SHINGLE, np.uint64), [], [], 0
+            for words in listed:
+                starts.append(at)
+                parts += [self._numbers(words), gap]
+                at += len(words) + SHINGLE
+            # a window that begins before the first text, and one that ends behind the last
+            edge = np.zeros(self.reach, np.uint64)
+            found = [set() for _ in listed]
+            for o, place in self.candidates(np.concatenate([edge, *parts, edge])):
+                place -= self.reach
+                first = max(bisect_right(starts, place) - 1, 0)
+                for d in range(first, bisect_right(starts, place + self.reach)):
+                    found[d].add((o, max(0, place - starts[d])))
+            out += [self.verify(w, f) for w, f in zip(listed, found)]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -223,8 +247,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id",
             with_templates = scanner(run)
             names = ("template", "start", "end", "containment")
             for part in parts:
-                yield pd.Series([[dict(zip(names, m)) for m in with_templates.scan(t)]
-                                 for t in part], dtype=object)
+                yield pd.Series([[dict(zip(names, m)) for m in found]
+                                 for found in with_templates.scan(part.tolist())], dtype=object)
         return of(text)
 
     found = [matches(run) for run in runs] or [F.array().cast(MATCH)]
