@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import itertools
 import json
 import os
 import re
@@ -66,38 +65,53 @@ def splitter(spec: dict):
     return regex.compile(cut["pattern"]["Regex"]).findall
 
 
+def byte_symbols() -> dict[int, int]:
+    """Character a byte-level vocabulary writes for each byte: printable ones stand for themselves,
+    the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, one library call per group."""
+    """Token ids of texts as little-endian unsigned integers of ``width`` (2 or 4) bytes.
 
-    def __init__(self, vocabulary: str):
+    With the splitter of a byte-level vocabulary, a piece that words share is merged once, by the
+    library's model; other vocabularies encode each different word.
+    """
+
+    def __init__(self, vocabulary: str, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.cell = f"<u{width}"
         with open(vocabulary, encoding="utf-8") as f:
-            self.split = splitter(json.load(f)) or (lambda word: [word])
+            self.split = splitter(json.load(f))
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words not met before; pieces that words share are encoded once."""
-        split = list(map(self.split, words))
+    def _ids(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.cell).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(
+                self.symbols)
+            self.pieces[piece] = found = self._ids([t.id for t in self.model.tokenize(text)])
+        return found
+
+    def _learn(self, words: set[str]) -> None:
         if len(self.pieces) > KNOWN_WORDS:
             self.pieces.clear()
-        new = sorted(set(itertools.chain.from_iterable(split)).difference(self.pieces))
-        step = 20_000
-        for at in range(0, len(new), step):
-            part = new[at:at + step]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])[:-1]
-            begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
-            cut = (4 * np.searchsorted(begins, starts)).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.pieces.update(zip(part, map(ids.__getitem__, map(
-                slice, cut, [*cut[1:], len(ids)]))))
-        ids_of = self.pieces.__getitem__
-        self.known.update((w, ids_of(p[0]) if len(p) == 1 else b"".join(map(ids_of, p)))
-                          for w, p in zip(words, split))
+        for word in words:
+            if self.split is None:
+                self.known[word] = self._ids(
+                    self.tokenizer.encode(word, add_special_tokens=False).ids)
+            else:
+                self.known[word] = b"".join(map(self._piece, self.split(word)))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for a, b in groups(texts):
@@ -106,11 +120,10 @@ class WordIds:
                 self.known.clear()
             new = set().union(*(w for w in split if w)).difference(self.known)
             if new:
-                self._learn(list(new))
+                self._learn(new)
             for text, words in zip(texts[a:b], split):
                 if words is None:
-                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                    yield np.array(ids, "<u4").tobytes()
+                    yield self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
                 else:
                     yield b"".join(map(self.known.__getitem__, words))
 
@@ -196,9 +209,9 @@ class MergeCounts:
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, width: int = 4) -> WordIds:
     """One per worker process and vocabulary; tasks that follow find its words."""
-    return WordIds(vocabulary)
+    return WordIds(vocabulary, width)
 
 
 @functools.lru_cache(maxsize=2)
