@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
         end_id: int = END_ID, pad_id: int = PAD_ID, vocabulary: str | None = None,
         width: int = 2) -> DataFrame:
     """Sequences of ``length`` ids of ``width`` bytes: part, nth, n_tokens, doc_ids, ids_crc32,
-    body (deflated).
+    body.
 
     Each document is its ids and an end id; null and empty texts are the end id alone, null ids
     are listed as null, repeated rows stand again.  Only the last sequence of a task is padded.
@@ -65,37 +67,50 @@ def cut(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length:
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     stride, cell = length * width, f"<u{width}"
-
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, part, nth = word_ids(path), TaskContext.get().partitionId(), 0
-        rest, held = bytearray(), []
-        end = np.array([end_id], "<u4").tobytes()
-        columns = ["part", "nth", "n_tokens", "doc_ids", "ids_crc32", "body"]
-
-        def row(body, n, ids):
-            return part, nth, n, ids, zlib.crc32(body), zlib.compress(body, 1)
-
-        for frame in parts:
-            rows = []
-            for key, ids in zip(frame["doc_id"], coder.encode(frame["text"].tolist())):
-                raw = np.frombuffer(ids + end, "<u4").astype(cell).tobytes()
-                at = 0
-                while at < len(raw):
-                    take = raw[at:at + stride - len(rest)]
-                    rest += take
-                    held.append(key)
-                    at += len(take)
-                    if len(rest) == stride:
-                        rows.append(row(bytes(rest), length, held))
-                        nth += 1
-                        rest, held = bytearray(), []
-            yield pd.DataFrame(rows, columns=columns)
+    end = np.array([end_id], cell).tobytes()
+    names = ["part", "nth", "n_tokens", "doc_ids", "ids_crc32", "body"]
+
+    def run_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, nth = word_ids(path, width), TaskContext.get().partitionId(), 0
+        rest, keys, sizes = b"", None, np.zeros(0, np.int64)  # of the sequence not yet full
+
+        def rows(stream: bytes, count: int, tokens: int) -> pa.RecordBatch:
+            ends = np.cumsum(sizes)
+            at = np.arange(count) * stride
+            lo = np.searchsorted(ends, at, "right")
+            hi = np.searchsorted(ends - sizes, at + stride, "left")
+            where = np.repeat(lo - np.cumsum([0, *(hi - lo)[:-1]]), hi - lo) + np.arange(
+                (hi - lo).sum())
+            bodies = [stream[i:i + stride] for i in at.tolist()]
+            listed = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *(hi - lo)]), pa.int32()), keys.take(pa.array(where)))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(count, part), pa.int32()),
+                pa.array(np.arange(nth, nth + count), pa.int64()),
+                pa.array(np.full(count, tokens), pa.int32()), listed,
+                pa.array(list(map(zlib.crc32, bodies)), pa.int64()),
+                pa.array(bodies, pa.binary())], names=names)
+
+        for batch in batches:
+            ids = [x + end for x in coder.encode(batch["text"].to_pylist())]
+            more = batch["doc_id"]
+            keys = more if keys is None else pa.concat_arrays([keys, more])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            stream = rest + b"".join(ids)
+            count = len(stream) // stride
+            if count:
+                yield rows(stream, count, length)
+            nth += count
+            done = count * stride
+            ends = np.cumsum(sizes)
+            first = int(np.searchsorted(ends, done, "right"))
+            sizes = (ends - np.maximum(ends - sizes, done))[first:]
+            rest, keys = stream[done:], keys.slice(first)
         if rest:
             n = len(rest) // width
-            body = bytes(rest) + np.full(length - n, pad_id, cell).tobytes()
-            yield pd.DataFrame([row(body, n, held)], columns=columns)
+            yield rows(rest + np.full(length - n, pad_id, cell).tobytes(), 1, n)
 
-    return own.mapInPandas(write, f"part int, nth bigint, n_tokens int, doc_ids array<{kind}>, "
+    return own.mapInArrow(run_on, f"part int, nth bigint, n_tokens int, doc_ids array<{kind}>, "
                                   "ids_crc32 bigint, body binary")
 
 
@@ -115,19 +130,25 @@ def write_shards(sequences: DataFrame, *, key: int = 1, length: int = LENGTH, wi
     first = materialize(per.select("part", base.alias("base")))
     stride = length * width
 
+    @F.pandas_udf("binary")
+    def squeezed(bodies: pd.Series) -> pd.Series:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pd.Series([pack(b) for b in bodies], dtype=object)
+
     @F.pandas_udf("bigint")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(np.int64), total, key))
 
     placed = sequences.join(first, "part").select(
         slot(F.col("base") + F.col("nth")).alias("slot"), "n_tokens", "ids_crc32", "doc_ids",
-        "body")
+        squeezed("body").alias("body"))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / slots).cast("bigint"))
     count = max(1, -(-total // slots))
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, folder_ = open_store(root)
         shard, out, temporary = None, None, ""
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def close():
             out.close()
@@ -142,7 +163,7 @@ def write_shards(sequences: DataFrame, *, key: int = 1, length: int = LENGTH, wi
                     system.create_dir(folder_, recursive=True)
                     shard, temporary = number, f"{folder_}/.{attempt_name()}"
                     out = system.open_output_stream(temporary)
-                out.write(zlib.decompress(body))
+                out.write(unpack(body))
                 offsets.append((s % slots) * stride)
             yield frame.assign(offset=offsets)[
                 ["slot", "shard", "offset", "n_tokens", "ids_crc32", "doc_ids"]]
@@ -150,9 +171,10 @@ def write_shards(sequences: DataFrame, *, key: int = 1, length: int = LENGTH, wi
             close()
 
     kind = sequences.schema["doc_ids"].dataType.simpleString()
-    index = materialize(placed.repartitionByRange(count, "shard").sortWithinPartitions("slot")
-                        .mapInPandas(write, "slot bigint, shard bigint, offset bigint, "
-                                            f"n_tokens int, ids_crc32 bigint, doc_ids {kind}"))
+    index = materialize(
+        placed.repartitionByRange(count, "shard").sortWithinPartitions("slot")
+        .mapInPandas(write, "slot bigint, shard bigint, offset bigint, n_tokens int, "
+                            f"ids_crc32 bigint, doc_ids {kind}"))
     index.shard_root = root
     return index
 
@@ -174,4 +196,4 @@ def read_slots(root: str, start: int, count: int, *, length: int = LENGTH, width
 def token_shards(docs: DataFrame, *, key: int = 1, **options) -> DataFrame:
     """Tokenise, number, permute and write; the index of all sequences."""
     sizes = {k: v for k, v in options.items() if k in ("length", "width")}
-    return write_shards(materialize(cut(docs, **options)), key=key, **sizes)
+    return write_shards(materialize(cut(docs, **options), "zstd"), key=key, **sizes)
