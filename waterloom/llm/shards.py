@@ -171,8 +171,9 @@ def write_shards(sequences: DataFrame, *, key: int = 1, length: int = LENGTH, wi
             close()
 
     kind = sequences.schema["doc_ids"].dataType.simpleString()
+    # the shard is the partition: ranges of slots, known without a sample of the rows
     index = materialize(
-        placed.repartitionByRange(count, "shard").sortWithinPartitions("slot")
+        placed.repartitionById(count, F.col("shard").cast("int")).sortWithinPartitions("slot")
         .mapInPandas(write, "slot bigint, shard bigint, offset bigint, n_tokens int, "
                             f"ids_crc32 bigint, doc_ids {kind}"))
     index.shard_root = root
