@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waterloom.llm import (
-    langid, licenses, lm, media, packing, quality, shards, simhash, tokens, winnow,
+    codes, langid, licenses, lm, media, packing, quality, shards, simhash, tokens, trie, urls,
+    winnow,
 )
 from waterloom.llm.common import id_remainder, table
 
@@ -112,3 +113,78 @@ def op4_license_scan(spark, d):
 @query("op7_token_shards")
 def op7_token_shards(spark, d):
     return shards.token_shards(table(spark, d, "documents"))
+
+
+@query("op11_url_filter")
+def op11_url_filter(spark, d):
+    return urls.judge(table(spark, d, "pages"))
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignments a0, a1 ... (part p of vector vec_id: distance * 64 + entry) and codebooks b1 ..."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS (SELECT x.vec_id, x.label, x.n, x.p, any_value(x.v) AS v, min(64 *
+ list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT
+ + b.e) AS m FROM x JOIN b{r} b USING (p) GROUP BY ALL)""")
+        if r < rounds:
+            out.append(f"""s{r} AS (SELECT p, m % 64 AS e, i, sum(v[i])::DOUBLE / count(*) AS mean
+ FROM a{r}, unnest(range(1, len(v) + 1)) t(i) GROUP BY ALL),
+c{r} AS (SELECT p, e, list(floor(mean)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY ALL),
+b{r + 1} AS (SELECT p, e, coalesce(c{r}.v, b{r}.v) AS v FROM b{r} LEFT JOIN c{r} USING (p, e))""")
+    return ",\n".join(out)
+
+
+@query("op12_vector_codes", f"""WITH k AS (SELECT vec_id, label, row_number() OVER () AS n,
+ list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS q FROM embeddings
+ WHERE embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0),
+x AS (SELECT vec_id, label, n, p, q[p * (len(q) // 16) + 1:(p + 1) * (len(q) // 16)] AS v
+ FROM k, unnest(range(16)) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x
+ QUALIFY e < 64),
+{_code_rounds(2)},
+r AS (SELECT vec_id, label, n, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code,
+ sum(m // 64)::BIGINT AS error FROM a2 GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+ (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM
+ (SELECT p, e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM b2)) AS codebooks_sha256 FROM r""")
+def op12_vector_codes(spark, d):
+    coded, book = codes.compress(table(spark, d, "embeddings"))
+    return codes.with_label_errors(coded).select(
+        "vec_id", codes.hex_code("code").alias("code"), "error", "label_error",
+        F.lit(codes.digest(book)).alias("codebooks_sha256"))
+
+
+CRC32 = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(c::VARCHAR, ''),
+ lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, e: CASE WHEN e >= 0
+ THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+@query("op13_prefix_trie", f"""WITH t AS (SELECT conv_id AS c, md5(octet_length(encode(coalesce(role,
+ '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+ octet_length(encode(coalesce(text, ''))) AS b, row_number() OVER (PARTITION BY conv_id
+ ORDER BY turn NULLS FIRST, coalesce(role, ''), m) AS i FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, count(*) AS n, {CRC32} % 9 AS h, c - c % 5 AS f FROM t GROUP BY c),
+w AS (SELECT h.c, t.i, m, b FROM h JOIN t ON t.c = h.f AND t.i <= h.h UNION ALL
+ SELECT h.c, t.i - h.h + least(h.h, coalesce(g.n, 0)), m, b
+ FROM h JOIN t ON t.c = h.c AND t.i > h.h LEFT JOIN h g ON g.c = h.f),
+p AS (SELECT c, i, b, list(m) OVER (PARTITION BY c ORDER BY i) AS k FROM w),
+n AS (SELECT i AS depth, k, min(c) AS o, count(*) AS n, min(b) AS b FROM p GROUP BY i, k),
+r AS (SELECT p.c, p.i, n.o FROM p JOIN n ON n.k = p.k
+ UNION ALL SELECT c, 0, (SELECT min(c) FROM h) FROM h),
+a AS (SELECT o, depth, n, b FROM n UNION ALL SELECT min(c), 0, count(*), 0 FROM h HAVING count(*) > 0),
+u AS (SELECT a.o, a.depth, r.o AS parent FROM a JOIN r ON r.c = a.o AND r.i = a.depth - 1),
+kids AS (SELECT parent AS o, depth - 1 AS depth, count(*) AS kids FROM u GROUP BY ALL),
+s AS (SELECT r.o, r.i AS depth, count(*) FILTER (kids IS NULL) AS leaves,
+ sum((a.n - 1) * a.b) AS saved FROM a LEFT JOIN kids USING (o, depth)
+ JOIN r ON r.c = a.o AND r.i <= a.depth GROUP BY ALL),
+e AS (SELECT o, i AS depth, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends
+ FROM (SELECT c, max(i) AS i FROM r GROUP BY c) JOIN r USING (c, i) GROUP BY ALL)
+SELECT o AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs,
+ coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+ coalesce(ends, sha256('')) AS ends_sha256 FROM a LEFT JOIN u USING (o, depth)
+ LEFT JOIN kids USING (o, depth) JOIN s USING (o, depth) LEFT JOIN e USING (o, depth)""")
+def op13_prefix_trie(spark, d):
+    turns, convs = trie.with_shared_openings(trie.numbered(table(spark, d, "conversations")))
+    return trie.prefix_trie(turns, convs)
