@@ -227,7 +227,7 @@ def test_written_bytes(spark, tmp_path):
     out = tmp_path / "out"
     model_text.write_numbered(read.repartition(3), str(out))
     for name, raw in lines.items():
-        parts = sorted((out / f"file={name}").glob("part-*"))
+        parts = sorted((out / name).glob("part-*"))
         assert b"".join(p.read_bytes() for p in parts) == raw
     text = spark.createDataFrame([(0, 0, 0, "Té"), (0, 1, 0, "日ü")],
                                  "part int, row int, sub int, line string")
@@ -240,7 +240,7 @@ def test_written_bytes(spark, tmp_path):
     renamed = dxf.rename_in_lines(
         read.withColumn("file", F.element_at(F.split("file", "/"), -1)), names.select("old", "new"))
     model_text.write_numbered(renamed, str(tmp_path / "renamed"))
-    parts = sorted((tmp_path / "renamed" / "file=a.dxf").glob("part-*"))
+    parts = sorted((tmp_path / "renamed" / "a.dxf").glob("part-*"))
     assert b"".join(p.read_bytes() for p in parts) == lines["a.dxf"].replace(b"R\xe9gard", b"\xc9t\xe9")
 
 

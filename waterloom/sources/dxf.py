@@ -5,6 +5,7 @@ Vertices stay in long form (file, ent_no, v_no, x, y); no polyline is collected
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from waterloom.functions.numbers import float_prefix, int_prefix, trim
 from waterloom.operators.ordered import Sequence
 from waterloom.session import materialize
 from waterloom.sources.lines import scanned_lines
+from waterloom.sources.parts import below_common_folder, write_parts
 
 # Entity types and layers the selective scan keeps.
 ENTITY_TYPES = ["INSERT", "LWPOLYLINE", "MTEXT", "TEXT", "LINE"]
@@ -64,22 +66,31 @@ HELD_SPLITS = 100_000
 TAG = "file string, block bigint, tag_no bigint, code int, value string"
 
 
-def _split_starts(raw: DataFrame) -> DataFrame:
+def _split_starts(raw: DataFrame, whole: bool = False) -> DataFrame:
     """Per split: its first line number, the last line before it that is no number, and the
-    first line of the split that follows."""
+    first line of the split that follows.
+
+    With ``whole`` also the code line before it (``_before``) and whether the file's last line has
+    no line end (``_open``): with one, lines and line ends make up the size of the file.
+    """
+    more = [F.max_by("text", "_mid").alias("_tail"), F.max("size").alias("_size"), F.sum(
+        F.length("text") + F.length("ending")).alias("_bytes")] if whole else []
     splits = raw.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_mid").alias("_first"),
         F.max(F.when(F.col("code").isNull(), F.col("_mid"))).alias("_last_text"),
-        F.min_by("text", "_mid").alias("_head"),
+        F.min_by("text", "_mid").alias("_head"), *more,
     )
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     numbered = splits.withColumn("_at", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     reset = F.col("_at") + F.col("_last_text") - F.col("_first")
+    files = Window.partitionBy("file")
+    more = [F.lag("_tail").over(order).alias("_before"),
+            (F.sum("_bytes").over(files) > F.col("_size")).alias("_open")] if whole else []
     return numbered.withColumn("_reset", reset).select(
         "file", "block", "_at", "_first", (F.col("_at") + F.col("_lines") - 1).alias("_end"),
         F.coalesce(F.last("_reset", ignorenulls=True).over(before), F.lit(-1)).alias("_reset"),
-        F.lead("_head").over(order).alias("_next"),
+        F.lead("_head").over(order).alias("_next"), *more,
     )
 
 
@@ -322,3 +333,129 @@ def rename_in_lines(
     return lines.join(changed, ["file", "line_no"], "left").withColumn(
         "text", F.coalesce("_t", "text")
     ).drop("_t")
+
+
+#: Names every task may hold while it copies drawings; with more the lines are joined instead.
+HELD_NAMES = 100_000
+
+
+def _copy(names: dict[int, tuple[list[str], list[str]]]):
+    """Lines of whole splits, in order, with renamed values and their code lines replaced.
+
+    A line is a value when the line before it is a code in use.  The roles follow from the last
+    line that is no number, as in ``_pair``; the last line of a batch waits for the one after it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old = {c: pa.array(o, pa.string()) for c, (o, _) in names.items()}
+        new = {c: np.array(n, object) for c, (_, n) in names.items()}
+        reset, before, held = -1, np.nan, None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            n = batch.num_rows
+            if not n:
+                continue
+            line, at, end, entry = (batch[c].to_numpy() for c in ("line", "_at", "_end", "_reset"))
+            text = np.array(batch["text"].to_pylist(), object)
+            code = batch["code"].to_numpy(zero_copy_only=False).astype(np.float64)
+            plain = np.isnan(code)
+            none = np.iinfo(np.int64).min
+            known = np.full(n, none)
+            known[1:][plain[:-1]] = line[:-1][plain[:-1]]
+            first = line == at
+            known[first] = entry[first]
+            if not first[0]:
+                known[0] = reset
+            last = known[np.maximum.accumulate(np.where(known != none, np.arange(n), 0))]
+            is_code = ~plain & ((line - last - 1) % 2 == 0)
+            after = np.append(text[1:], None)
+            after[line == end] = np.array(batch["_next"].to_pylist(), object)[line == end]
+            done = n if line[-1] == end[-1] else n - 1
+            # the code line before each line: the line above, at a split's start the split's own
+            role = np.append([before], np.where(is_code[:-1], code[:-1], np.nan))
+            for i in np.flatnonzero(first):
+                role[i] = np.nan
+                b = batch["_before"][int(i)].as_py()
+                if b is not None and (line[i] - 1 - entry[i] - 1) % 2 == 0 and line[i] - 1 != entry[i]:
+                    role[i] = float(re.match(r"\s*([+-]?\d+)", b)[1])
+            out = text.copy()
+            for c in old:
+                asked = is_code & (code == c)
+                found = pc.index_in(pa.array(after[asked], pa.string()), old[c])
+                hit = np.flatnonzero(asked)[found.is_valid().to_numpy(zero_copy_only=False)]
+                out[hit] = f"{c:>3}"
+                values = np.asarray(role == c)
+                found = pc.index_in(pa.array(text[values], pa.string()), old[c])
+                valid = found.is_valid().to_numpy(zero_copy_only=False)
+                out[np.flatnonzero(values)[valid]] = new[c][
+                    found.drop_null().to_numpy(zero_copy_only=False)]
+            ending = np.array(batch["ending"].to_pylist(), object)
+            files, blocks = batch["file"], batch["block"].to_numpy()
+            starts = np.append(np.flatnonzero(first[:done] | (np.arange(done) == 0)), done)
+            opened = batch["_open"].to_numpy(zero_copy_only=False)
+            lead = batch["_next"].is_null().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(opened & lead & (line == end))
+            ending[cut] = [e[:-1] for e in ending[cut]]
+            rows = [(files[int(a)].as_py(), f"{blocks[a]:015d}", "".join(
+                x for pair in zip(out[a:b], ending[a:b]) for x in pair).encode("latin-1", "replace"))
+                for a, b in zip(starts, starts[1:]) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                    (pa.string(), pa.string(), pa.binary()))], names=["file", "part", "value"])
+            held = batch.slice(done) if done < n else None
+            if held is not None:
+                before = role[done]
+                reset = int(last[done])
+    return run
+
+
+def rename_files(
+    spark: SparkSession, path, out: str, layer_names: DataFrame | None = None,
+    block_names: DataFrame | None = None,
+) -> DataFrame:
+    """Copy drawings with layers and blocks renamed, every other byte as it was.
+
+    Each file is stored in a folder of its own below ``out``, named by its path below the folder
+    that all files share, so files of equal name stay apart; the parts of a folder concatenate to
+    the file (see ``parts``).  Line ends, also a missing last one, and empty files are kept; only
+    the renamed values and their code lines (padded to three) differ.  A character that Latin-1
+    lacks becomes ``?``.  The text is read twice and neither shuffled nor sorted, unless there are
+    more names than ``HELD_NAMES``.  Returns the files: file, target.
+    """
+    # a scan leaves empty files out, the listing behind it does not; a scan names local files
+    # with one slash
+    listed = spark.createDataFrame(
+        [(re.sub(r"^(\w+):///", r"\1:/", f),) for f in spark.read.text(path).inputFiles()],
+        "file string")
+    targets = materialize(below_common_folder(listed))
+    raw = scanned_lines(spark, path).withColumn("code", int_prefix(F.col("text")))
+    starts = materialize(_split_starts(raw, whole=True).join(targets.select("file", "target"), "file"))
+    few = starts.count() <= HELD_SPLITS
+    lines = raw.join(F.broadcast(starts) if few else starts, ["file", "block"]).select(
+        F.col("target").alias("file"), "block",
+        (F.col("_at") + F.col("_mid") - F.col("_first")).alias("line"), "code", "text", "ending",
+        "_at", "_end", "_reset", "_next", "_before", "_open")
+    tables = [(t, c) for t, c in ((layer_names, (8, 2)), (block_names, (2,))) if t is not None]
+    pairs = [t.select("old", "new").limit(HELD_NAMES + 1).collect() for t, _ in tables]
+    held = all(len(p) <= HELD_NAMES for p in pairs)
+    names: dict[int, dict[str, str]] = {}
+    if held:
+        for rows, (_, codes) in zip(pairs, tables):
+            for c in codes:
+                for r in rows:
+                    names.setdefault(c, {}).setdefault(r["old"], r["new"])
+    else:
+        texts = lines.withColumnRenamed("line", "line_no")
+        changed = rename_in_lines(texts, layer_names, block_names)
+        lines = changed.withColumnRenamed("line_no", "line").withColumn(
+            "code", int_prefix(F.col("text")))
+    if not (few and held):
+        lines = lines.repartition("file", "block").sortWithinPartitions("file", "line")
+    copied = lines.mapInArrow(
+        _copy({c: (list(m), list(m.values())) for c, m in names.items()}),
+        "file string, part string, value binary")
+    empty = targets.join(starts.select("file").distinct(), "file", "left_anti").select(
+        F.col("target").alias("file"), F.lit("0" * 15).alias("part"),
+        F.lit(b"").alias("value"))
+    write_parts(copied.unionByName(empty), out)
+    return targets

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 def scanned_lines(spark: SparkSession, path) -> DataFrame:
     """Lines as the scan gives them: file, block (offset of the split), _mid (order in the
-    split), text (Latin-1, without line end) and ending (``\\r\\n`` or ``\\n``)."""
+    split), text (Latin-1, without line end), ending (``\\r\\n`` or ``\\n``) and the file's size."""
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("_mid"),
         F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("_raw"),
     )
     crlf = F.col("_raw").endswith("\r")
     return raw.select(
-        "file", "block", "_mid",
+        "file", "block", "size", "_mid",
         F.when(crlf, F.expr("substring(_raw, 1, length(_raw) - 1)")).otherwise(F.col("_raw"))
         .alias("text"),
         F.when(crlf, F.lit("\r\n")).otherwise(F.lit("\n")).alias("ending"),
