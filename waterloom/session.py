@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +44,55 @@ def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if open_scopes := _scopes():
+        open_scopes[-1].append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the table of a frame from ``materialize`` that no later plan reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.written_to)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+def scratch(fn: Callable) -> Callable:
+    """Let ``fn``, which returns one frame or a tuple with frames, clean up after itself.
+
+    Tables it has written are deleted when it returns, but for those the returned frames read, and
+    all of them when it fails.  What is left belongs to the scope around it, if there is one.
+    """
+    @functools.wraps(fn)
+    def run(*args, **options):
+        scopes = _scopes()
+        scopes.append([])
+        try:
+            out = fn(*args, **options)
+            frames = [f for f in (out if isinstance(out, tuple) else (out,)) if isinstance(f, DataFrame)]
+            read = "\n".join(f for frame in frames for f in frame.inputFiles())
+        except BaseException:
+            read = ""
+            raise
+        finally:
+            written = scopes.pop()
+            kept = [p for p in written if p.rsplit("/", 1)[1] in read]
+            for path in written:
+                if path not in kept:
+                    _delete(SparkSession.active(), path)
+            if scopes:
+                scopes[-1].extend(kept)
+        return out
+
+    return run
