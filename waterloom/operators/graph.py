@@ -60,20 +60,22 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     ).select("node", F.coalesce("component", "node").alias("component"))
 
 
-def component_sizes(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+def component_sizes(labelled: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return labelled.groupBy(*(by or []), "component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def topology_summary(labelled: DataFrame) -> DataFrame:
-    """One row: number of components, size of the largest, and how many are smaller."""
-    by_size = component_sizes(labelled).groupBy("nodes").agg(F.count(F.lit(1)).alias("n"))
-    top = by_size.agg(
+def topology_summary(labelled: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row, or one per ``by``: number of components, size of the largest, and how many are
+    smaller."""
+    by = by or []
+    by_size = component_sizes(labelled, by).groupBy(*by, "nodes").agg(F.count(F.lit(1)).alias("n"))
+    top = by_size.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("components"),
         F.coalesce(F.max("nodes"), F.lit(0)).alias("largest"),
         F.max_by("n", "nodes").alias("_at_top"),
     )
     return top.select(
-        "components", "largest",
+        *by, "components", "largest",
         (F.col("components") - F.coalesce("_at_top", F.lit(0))).alias("isolated"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,24 @@ def file_kind(path: Column) -> Column:
     return F.nullif(ending, F.lit(""))
 
 
+def of_kind(kind: str) -> dict[str, str]:
+    """Reader options that choose the files of a kind, whatever the case of their ending."""
+    ending = "".join(f"[{c}{c.upper()}]" for c in kind)
+    return {"recursiveFileLookup": "true", "pathGlobFilter": f"*.{ending}"}
+
+
 def list_files(spark: SparkSession, path) -> DataFrame:
-    """Files under a folder or glob with size and kind; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return listed.select(F.col("path").alias("file"), "length", file_kind(F.col("path")).alias("kind"))
+    """Files under a folder or glob with their kind; contents are not read, empty files count."""
+    # the listing names local files with three slashes, scans with one
+    names = spark.read.option("recursiveFileLookup", True).text(path).inputFiles()
+    listed = spark.createDataFrame(
+        [(re.sub(r"^(\w+):///", r"\1:/", f),) for f in names], "file string")
+    return listed.withColumn("kind", file_kind(F.col("file")))
 
 
-def read_extracted(spark: SparkSession, path, schema) -> DataFrame:
+def read_extracted(spark: SparkSession, path, schema, **options) -> DataFrame:
     """A pre-extracted JSON document per file, under a given schema."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn(
+    return spark.read.options(**options).schema(schema).json(path, multiLine=True).withColumn(
         "file", F.col("_metadata.file_path")
     )
 

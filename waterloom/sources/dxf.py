@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from waterloom.functions.numbers import float_prefix, int_prefix, trim
 from waterloom.operators.ordered import Sequence
 from waterloom.session import materialize
+from waterloom.sources.dispatch import list_files
 from waterloom.sources.lines import scanned_lines
 from waterloom.sources.parts import below_common_folder, write_parts
 
@@ -133,13 +134,13 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reset = int(last[-1])
 
 
-def read_tags(spark: SparkSession, path) -> DataFrame:
+def read_tags(spark: SparkSession, path, **options) -> DataFrame:
     """Tags of one or many drawings: file, tag_no, code, value, block.
 
     The text is read twice and never shuffled or sorted: one aggregate gives each split its first
     line number and the role of its first line, then every task pairs the lines it reads.
     """
-    raw = scanned_lines(spark, path).withColumn("code", int_prefix(F.col("text")))
+    raw = scanned_lines(spark, path, **options).withColumn("code", int_prefix(F.col("text")))
     starts = materialize(_split_starts(raw))
     few = starts.count() <= HELD_SPLITS
     joined = raw.join(F.broadcast(starts) if few else starts, ["file", "block"]).select(
@@ -422,11 +423,7 @@ def rename_files(
     lacks becomes ``?``.  The text is read twice and neither shuffled nor sorted, unless there are
     more names than ``HELD_NAMES``.  Returns the files: file, target.
     """
-    # a scan leaves empty files out, the listing behind it does not; a scan names local files
-    # with one slash
-    listed = spark.createDataFrame(
-        [(re.sub(r"^(\w+):///", r"\1:/", f),) for f in spark.read.text(path).inputFiles()],
-        "file string")
+    listed = list_files(spark, path).select("file")  # a scan leaves empty files out
     targets = materialize(below_common_folder(listed))
     raw = scanned_lines(spark, path).withColumn("code", int_prefix(F.col("text")))
     starts = materialize(_split_starts(raw, whole=True).join(targets.select("file", "target"), "file"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def scanned_lines(spark: SparkSession, path) -> DataFrame:
+def scanned_lines(spark: SparkSession, path, **options) -> DataFrame:
     """Lines as the scan gives them: file, block (offset of the split), _mid (order in the
     split), text (Latin-1, without line end), ending (``\\r\\n`` or ``\\n``) and the file's size."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(
+    raw = spark.read.options(**options).option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"),
@@ -25,15 +25,15 @@ def scanned_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
+def read_lines(spark: SparkSession, path, **options) -> DataFrame:
     """Lines of one or many single-byte (Latin-1) text files.
 
     Columns: file, block (offset of the split), line_no (0-based in the file), text (without
     line end), ending (``\\r\\n`` or ``\\n``).  A big file is read by many tasks; the line number
     is the position in the split plus the line count of the splits before it, so no line is
-    moved or sorted to be numbered.
+    moved or sorted to be numbered.  ``options`` choose files as Spark's readers do.
     """
-    raw = scanned_lines(spark, path)
+    raw = scanned_lines(spark, path, **options)
     splits = raw.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("_lines"), F.min("_mid").alias("_first")
     )
