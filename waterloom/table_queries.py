@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waterloom import schema
-from waterloom.operators import merge, validate
+from waterloom.operators import detect, merge, validate
 from waterloom.plans import views
 from waterloom.queries import FOUND, NET, field_cells, order_network, query, r4, table
 from waterloom.queries import _findings
@@ -187,3 +187,25 @@ def added_links(spark, d):
     added = merge.add_links(none, pairs, nodes)
     ends = merge.edited_link_ends(added, nodes)
     return ends.select(F.col("id"), "from_node", "to_node", "diam", "x1", "x2")
+
+
+# Numbers behind a letter, all of a few lengths, and names that are longer than the short index.
+NEW_ID = "CASE WHEN s_suppkey % 3 = 0 THEN concat('j-', (s_suppkey * 104729) % 1000000) WHEN s_suppkey % 3 = 1 THEN concat('J', (s_suppkey * 104729) % 1000000) ELSE concat('conduite ', s_suppkey * 7919, ' nord') END"
+OLD_ID = "CASE WHEN c_custkey % 2 = 0 THEN concat('J', (c_custkey * 7919) % 1000000) ELSE concat('Conduit ', c_custkey * 7919, ' nord') END"
+
+
+@query("similar_ids", f"""WITH p AS (SELECT id, new_id, lower(new_id) AS a, lower(id) AS b FROM
+ (SELECT {OLD_ID} AS id FROM customer), (SELECT {NEW_ID} AS new_id FROM supplier)),
+r AS (SELECT *, greatest(length(a), length(b)) AS n, levenshtein(a, b) AS d FROM p),
+m AS (SELECT *, CASE WHEN contains(a, b) OR contains(b, a) THEN 0 ELSE coalesce(list_max(list_filter(
+ range(1, length(a) + 1), lambda k: len(list_filter(range(1, length(a) - k + 2),
+ lambda i: contains(b, substring(a, i, k)))) > 0)), 0) END AS run FROM r WHERE d < 0.5 * n),
+s AS (SELECT id, new_id, CASE WHEN a = b THEN 1.0 ELSE least(1.0, 1.0 - d / n::DOUBLE + CASE WHEN
+ contains(a, b) OR contains(b, a) THEN 0.2 WHEN run >= 3 THEN 0.1 * (run / n::DOUBLE) ELSE 0.0 END) END
+ AS similarity FROM m)
+SELECT id, new_id, floor(similarity * 1e4 + 0.5) / 1e4 AS similarity FROM s
+ WHERE similarity > 0.7 AND similarity < 1.0""")
+def similar_ids(spark, d):
+    stored = table(spark, d, "customer").select(F.expr(OLD_ID).alias("id"))
+    asked = table(spark, d, "supplier").select(F.expr(NEW_ID).alias("new_id"))
+    return detect.similar_ids(stored, asked).select("id", "new_id", r4("similarity").alias("similarity"))
