@@ -224,7 +224,16 @@ def nearest_value(spark, d):
     return out.withColumn("gap", r4("gap"))
 
 
-@query("serial_match")
+@query("serial_match", f"""WITH RECURSIVE c AS (SELECT c_custkey, {CX} AS x, {CY} AS y,
+ row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+s AS (SELECT s_suppkey, {SX} AS x, {SY} AS y FROM supplier),
+pr AS MATERIALIZED (SELECT * FROM (SELECT i, c_custkey, s_suppkey, sqrt((c.x - s.x) * (c.x - s.x)
+ + (c.y - s.y) * (c.y - s.y)) AS d FROM c, s) WHERE d < 300.0),
+m(i, used, took) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL SELECT i + 1, CASE WHEN k IS
+ NULL THEN used ELSE list_append(used, k) END, k FROM (SELECT m.i, used, (SELECT arg_min(s_suppkey,
+ (d, s_suppkey)) FROM pr WHERE pr.i = m.i + 1 AND NOT list_contains(m.used, s_suppkey)) AS k FROM m
+ WHERE m.i < (SELECT count(*) FROM c)))
+SELECT c_custkey, s_suppkey, {R('d')} AS distance FROM m JOIN pr ON pr.i = m.i AND pr.s_suppkey = took""")
 def serial_match(spark, d):
     people = customers_at(spark, d).withColumn("turn", F.col("c_custkey"))
     out = matching.serial_match(people, suppliers_at(spark, d), probe_key="c_custkey",
@@ -233,7 +242,16 @@ def serial_match(spark, d):
     return out.withColumn("distance", r4("distance"))
 
 
-@query("leader_cluster")
+@query("leader_cluster", f"""WITH RECURSIVE c AS (SELECT c_custkey, {CX} AS x, {CY} AS y,
+ row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+near AS MATERIALIZED (SELECT a.i, b.i AS j FROM c a, c b WHERE b.i <= a.i AND
+ sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 250.0),
+m(i, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT m.i + 1, CASE WHEN (SELECT count(*) FROM near
+ WHERE near.i = m.i + 1 AND list_contains(m.leaders, near.j)) = 0 THEN list_append(leaders, m.i + 1)
+ ELSE leaders END FROM m WHERE m.i < (SELECT count(*) FROM c)),
+l AS (SELECT unnest(leaders) AS j FROM m WHERE m.i = (SELECT count(*) FROM c))
+SELECT a.c_custkey, b.c_custkey AS leader FROM (SELECT near.i, min(near.j) AS j FROM near JOIN l USING (j)
+ GROUP BY near.i) o JOIN c a ON a.i = o.i JOIN c b ON b.i = o.j""")
 def leader_cluster(spark, d):
     return matching.leader_cluster(customers_at(spark, d).withColumn("o", F.col("c_custkey")),
                                    key="c_custkey", order="o", radius=250.0)
