@@ -5,11 +5,15 @@ Both reproduce a sequential greedy loop exactly.  Rounds cut their lineage with
 
 from __future__ import annotations
 
+import bisect
+import math
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waterloom.functions.geometry import distance
+from waterloom.operators.graph import components
 from waterloom.operators.ordered import Sequence
 from waterloom.operators.spatial import (
     CELL_CAP,
@@ -23,6 +27,128 @@ from waterloom.operators.spatial import (
 )
 from waterloom.session import materialize
 
+#: Rounds after which neighbourhoods that are still undecided are settled one by one.
+ROUNDS = 6
+#: Rows, and pairs of a probe and a point in neighbouring cells, of a neighbourhood that one task
+#: settles; larger ones go on in rounds.
+SETTLED_ROWS, SETTLED_PAIRS = 200_000, 20_000_000
+
+
+def _settle_line(probes: list, points: list, radius: float) -> list:
+    """Nearest free number for each probe in turn: the next free one to either side, found through
+    links that skip what is taken."""
+    places = sorted(points, key=lambda p: (p[1], p[3]))
+    at = [p[1] for p in places]
+    right, left = list(range(len(at) + 1)), list(range(len(at) + 1))
+
+    def free(links, i):
+        while links[i] != i:
+            links[i] = links[links[i]]
+            i = links[i]
+        return i
+
+    out = []
+    for number, x, y, _ in probes:
+        # of equal numbers the one of lowest order comes first on either side
+        i = bisect.bisect_left(at, x)
+        up, down = free(right, i), free(left, i) - 1
+        if down >= 0:
+            first = bisect.bisect_left(at, at[down])
+            down = free(right, first)
+        best = None
+        for j in (up, down):
+            if 0 <= j < len(at):
+                dx, dy = x - at[j], y - places[j][2]
+                d = math.sqrt(dx * dx + dy * dy)
+                if d < radius:
+                    best = min(best or (d, places[j][3], j), (d, places[j][3], j))
+        if best:
+            j = best[2]
+            right[j], left[j + 1] = j + 1, j
+            out.append((number, places[j][0], best[0]))
+    return out
+
+
+def _settle_plane(probes: list, points: list, radius: float) -> list:
+    """Nearest free point for each probe in turn, among those in the nine cells around it."""
+    cells: dict[tuple, list] = {}
+    for p in points:
+        cells.setdefault((math.floor(p[1] / radius), math.floor(p[2] / radius)), []).append(p)
+    out = []
+    for number, x, y, _ in probes:
+        cx, cy, best = math.floor(x / radius), math.floor(y / radius), None
+        for key in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            for p in cells.get(key, ()):
+                dx, dy = x - p[1], y - p[2]
+                d = math.sqrt(dx * dx + dy * dy)
+                if d < radius and (best is None or (d, p[3]) < best[:2]):
+                    best = (d, p[3], p, key)
+        if best:
+            cells[best[3]].remove(best[2])
+            out.append((number, best[2][0], best[0]))
+    return out
+
+
+def _neighbourhoods(probes: DataFrame, points: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """Cells of probes and points that chains of neighbouring cells connect: by, _cx, _cy, _part,
+    and the rows and pairs of each part."""
+    cell = [*by, "_cx", "_cy"]
+    held = with_own_cell(points, "_x", "_y", radius).groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("_points"))
+    asking = materialize(with_own_cell(probes, "_px", "_py", radius).groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("_probes")).withColumns({
+            "_fx": F.col("_cx"), "_fy": F.col("_cy"),
+            "_mx": (F.col("_cx") + 0.5) * radius, "_my": (F.col("_cy") + 0.5) * radius}))
+    near = with_neighbour_cells(asking.drop("_cx", "_cy"), "_mx", "_my", radius).join(held, cell)
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in by]
+
+    def node(x: str, y: str):
+        return F.concat_ws("\u0000", *names, F.col(x).cast("string"), F.col(y).cast("string"))
+
+    near = materialize(near.select(*by, node("_fx", "_fy").alias("src"), node("_cx", "_cy").alias(
+        "dst"), "_probes", "_points", (F.col("_probes") * F.col("_points")).alias("_pairs")))
+    parts = materialize(components(near, "src", "dst"))
+    pairs = near.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").agg(
+        F.sum("_pairs").alias("_pairs"))
+    counts = materialize(asking.select(*by, "_cx", "_cy", F.col("_probes").alias("_n")).unionByName(
+        held.withColumnRenamed("_points", "_n")).groupBy(*cell).agg(F.sum("_n").alias("_n")))
+    placed = counts.withColumn("node", node("_cx", "_cy")).join(parts, "node")
+    rows = placed.groupBy("component").agg(F.sum("_n").alias("_rows"))
+    return materialize(placed.select(*cell, "component").join(
+        rows.join(pairs, "component"), "component").withColumnRenamed("component", "_part"))
+
+
+def _settled(probes: DataFrame, points: DataFrame, parts: DataFrame, by: list[str], radius: float,
+             line: bool) -> DataFrame:
+    """Matches (by, _pid, _key, _dist) inside each of the small neighbourhoods ``parts``, every one
+    settled by a task in the order of its probes."""
+    cell = [*by, "_cx", "_cy"]
+    own = parts.select(*cell, "_part")
+    number = F.monotonically_increasing_id()
+    asking = materialize(with_own_cell(probes, "_px", "_py", radius).join(own, cell).withColumn(
+        "_number", number))
+    offered = materialize(with_own_cell(points, "_x", "_y", radius).join(own, cell).withColumn(
+        "_number", number))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_ord")).cast("double")
+    rows = asking.select("_part", F.lit(True).alias("probe"), "_number", F.col("_px").alias("x"),
+                         F.col("_py").alias("y"), F.col("_turn").alias("rank")).unionByName(
+        offered.select("_part", F.lit(False).alias("probe"), "_number", F.col("_x").alias("x"),
+                       F.col("_y").alias("y"), rank.alias("rank")))
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["rank", "_number"])
+        mine = frame["probe"]
+        sides = [list(f[["_number", "x", "y", "rank"]].itertuples(index=False, name=None))
+                 for f in (frame[mine], frame[~mine])]
+        found = (_settle_line if line else _settle_plane)(*sides, radius)
+        return pd.DataFrame(found, columns=["_p", "_q", "_dist"])
+
+    pairs = rows.groupBy("_part").applyInPandas(settle, "_p bigint, _q bigint, _dist double")
+    pairs = materialize(pairs)
+    return asking.select(*by, "_pid", F.col("_number").alias("_p")).join(pairs, "_p").join(
+        offered.select("_key", F.col("_number").alias("_q")), "_q").select(
+        *by, "_pid", "_key", "_dist")
+
 
 def priority(df: DataFrame, order: list[str], name: str = "priority", by=None) -> DataFrame:
     """Number the rows in match order."""
@@ -32,15 +158,19 @@ def priority(df: DataFrame, order: list[str], name: str = "priority", by=None) -
 def serial_match(
     probes: DataFrame, points: DataFrame, *, probe_key: str, point_key: str,
     probe_order: str, point_order: str, radius: float, by: list[str] | None = None,
-    x: str = "x", y: str = "y", cell_cap: int = CELL_CAP,
+    x: str = "x", y: str = "y", cell_cap: int = CELL_CAP, rounds: int = ROUNDS,
+    line: bool = False,
 ) -> DataFrame:
     """Each probe, in ``probe_order``, takes its nearest free point closer than ``radius``.
 
     Solved as candidate-side stable matching, which has the same result because every point
     prefers the earlier probe (Gale and Shapley, 1962).  Every round the open probes ask their
     nearest slot that would still take them (free, or held by a later probe); a slot keeps its
-    earliest askers and sends the others on.  A refusal is final, so the rounds end; their
-    number is the length of the longest chain of probes that compete for the same slots.
+    earliest askers and sends the others on.  A refusal is final, so the rounds end, but a chain
+    of probes that compete for the same slots takes a round for each.  After ``rounds`` rounds the
+    neighbourhoods (cells that chains of neighbours connect) with open probes are therefore
+    settled by a task each, in the order of their probes, if they are small enough for that;
+    only larger ones go on in rounds.  ``line`` says that all places lie on one line.
 
     Points at one position normally form one slot with that many seats, so a crowd of points is
     filled in one round.  That is exact unless a probe is equally far from two positions, one of
@@ -88,7 +218,23 @@ def serial_match(
     )
     endless = F.lit(float("inf"))
     held: DataFrame | None = None
+    everyone, done, taken = waiting, None, 0
     while True:
+        if taken == rounds and not waiting.isEmpty():
+            parts = _neighbourhoods(everyone, located, by, radius)
+            open_ = with_own_cell(waiting, "_px", "_py", radius).join(
+                parts, [*by, "_cx", "_cy"]).select("_part").distinct()
+            small = parts.where((F.col("_rows") <= SETTLED_ROWS) & (
+                F.lit(line) | (F.col("_pairs") <= SETTLED_PAIRS)))
+            small = materialize(small.join(materialize(open_), "_part", "left_semi"))
+            done = materialize(_settled(everyone, located, small, by, radius, line))
+            apart = small.select(*by, "_cx", "_cy")
+
+            def outside(df, px, py):
+                return materialize(with_own_cell(df, px, py, radius).join(
+                    apart, [*by, "_cx", "_cy"], "left_anti").drop("_cx", "_cy"))
+            waiting, held = outside(waiting, "_px", "_py"), outside(held, "_x", "_y")
+        taken += 1
         if held is None:
             offers = slots.withColumn("_limit", endless)
         else:
@@ -142,10 +288,15 @@ def serial_match(
     seated = Sequence(held, slot, ["_turn"]).row_number("_n").df.withColumn(
         "_seat", F.when(F.col("_slot") == 0, F.col("_n")).otherwise(F.col("_slot"))
     )
-    return seated.join(seats, [*pos, "_seat"]).select(
+    matched = seated.join(seats, [*pos, "_seat"]).select(*by, "_pid", "_key", "_dist")
+    if done is not None:
+        matched = matched.unionByName(done)
+    out = matched.select(
         *by, F.col("_pid").alias(probe_key), F.col("_key").alias(point_key),
         F.col("_dist").alias("distance"),
     )
+    out.rounds = taken
+    return out
 
 
 def serial_match_values(
@@ -164,7 +315,7 @@ def serial_match_values(
         probes.withColumns({"_lx": F.col(probe_value).cast("double"), "_ly": zero}),
         values.withColumns({"_lx": F.col(value).cast("double"), "_ly": zero}),
         probe_key=probe_key, point_key=value_key, probe_order=probe_order,
-        point_order=value_order, radius=reach, by=by, x="_lx", y="_ly",
+        point_order=value_order, radius=reach, by=by, x="_lx", y="_ly", line=True,
     ).withColumnRenamed("distance", "gap")
 
 
