@@ -1,5 +1,6 @@
 """Drawing scan and network plan on a small drawing written by the test."""
 
+import json
 import random
 import re
 import struct
@@ -124,9 +125,22 @@ def test_profiles(built):
     assert m["R9"]["profile_id"] is None
 
 
-def test_report_and_layers(built):
+def test_report_and_layers(spark, built, tmp_path):
     r = short(built.report()).first()
     assert (r["manholes"], r["pipes"], r["profiles"], r["profile_segments"]) == (4, 2, 1, 1)
+    assert (r["with_label"], r["with_insert"], r["manholes_matched"], r["labels_unmatched"],
+            r["inserts_unlabelled"]) == (3, 3, 2, 1, 1)
+    assert (r["polylines"], r["pipe_texts"], r["dn_pipes"], r["dn200"]) == (2, 3, 1, 1)
+    # 100 + 30 in plan; the line of two of its three vertices is sqrt(50)
+    assert (r["pipe_length"], r["dn_length"], r["dn200_length"]) == (130.0, 7.07, 7.07)
+    built.write_report(str(tmp_path / "report"))
+    doc = next(d for p in sorted((tmp_path / "report" / "report").glob("*.json"))
+               for d in map(json.loads, p.read_text().splitlines()) if d["meta"]["file"].endswith("a.dxf"))
+    assert doc["manholes"] == {"count": 4, "withLabel": 3, "withInsert": 3, "labeledAndMatched": 2,
+                               "labeledUnmatched": 1, "unlabeledInserts": 1}
+    assert doc["dn200"] == {"count": 1, "totalLength": 7.07}
+    segs = spark.read.parquet(str(tmp_path / "report" / "profile_segments"))
+    assert [(s["length_m"], s["slope_pct"]) for s in short(segs).collect()] == [(100.0, -1.0)]
     assert [r["layer"] for r in short(sewer_layers(built.entities)).collect()] == [
         "DN 200", "DN110", "DN160", "EU 1_Canalisations", "EU 1_Canalisations_Habillage", PROFILE,
         "EU 1_Regards", "EU 1_Regards_Habillage", "_AEP", "_RESEAU INCENDIE", "assai 250"]

@@ -7,7 +7,7 @@ an entity in its file and decides every tie.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from waterloom.functions.numbers import (
     int_prefix,
     number,
     or_default,
+    round_half_up,
     to_fixed,
     trim,
 )
@@ -453,29 +454,89 @@ class Drawing:
         return on_node, at_end
 
     def report(self) -> DataFrame:
-        """One row per file with the counts of everything extracted."""
+        """One row per file with the counts and sums of everything extracted.
+
+        Every extracted item is one narrow row (file, what, length); all counts and sums are one
+        aggregation of these, combined before the shuffle.  A file without any item has zeros.
+        """
         parts = {
-            "manholes": (self.manholes, F.lit(True)),
+            "manholes": (self.manholes, None),
+            "with_label": (self.manholes, F.col("part") == 0),
+            "with_insert": (self.of("INSERT", F.col("layer") == NODES), None),
             "manholes_matched": (self.manholes, F.col("matched")),
-            "profiles": (self.profiles, F.lit(True)),
-            "profile_segments": (self.profile_segments, F.lit(True)),
-            "polylines": (self.classified, F.lit(True)),
+            "labels_unmatched": (self.manholes, (F.col("part") == 0) & ~F.col("matched")),
+            "inserts_unlabelled": (self.manholes, F.col("part") == 1),
+            "profiles": (self.profiles, None),
+            "profile_segments": (self.profile_segments, None),
+            "polylines": (self.classified, None),
             "pipes": (self.classified, F.col("class") == "pipe"),
             "profile_zone": (self.classified, F.col("class") == "profile_zone"),
             "construction": (self.classified, F.col("class") != "pipe"),
-            "label_groups": (self.label_groups, F.lit(True)),
-            "dn_pipes": (self.dn_pipes, F.lit(True)),
-            "second_nodes": (self.second_nodes, F.lit(True)),
-            "second_lines": (self.second_lines, F.lit(True)),
-            "projected": (self.projected, F.lit(True)),
-            "extra_nodes": (self.extra_nodes, F.lit(True)),
+            "pipe_texts": (self.of("TEXT", F.col("layer") == MAIN_TEXT), None),
+            "label_groups": (self.label_groups, None),
+            "dn_pipes": (self.dn_pipes, None),
+            "dn200": (self.dn_pipes, F.col("diam") == "200"),
+            "second_nodes": (self.second_nodes, None),
+            "second_lines": (self.second_lines, None),
+            "projected": (self.projected, None),
+            "extra_nodes": (self.extra_nodes, None),
         }
-        frames = [df.where(test).groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn(
-            "what", F.lit(name)) for name, (df, test) in parts.items()]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out.groupBy("file").pivot("what", list(parts)).agg(F.first("n")).na.fill(0)
+        dn = self.measured(self.dn_pipes)
+        measured = {"pipe_length": self.plan_pipes, "dn_length": dn,
+                    "dn200_length": dn.where(F.col("diam") == "200")}
+        nothing = F.lit(None).cast("double").alias("length")
+        rows = [(df if test is None else df.where(test)).select("file", F.lit(n).alias("what"), nothing)
+                for n, (df, test) in parts.items()]
+        rows += [df.select("file", F.lit(n).alias("what"), "length") for n, df in measured.items()]
+        rows.append(self.entities.select("file", F.lit("").alias("what"), nothing).distinct())
+        # lengths count to two decimals; sums of whole hundredths do not depend on the order
+        units = F.round(round_half_up(F.col("length"), 2) * 100).cast("bigint")
+        return reduce(DataFrame.unionByName, rows).groupBy("file").agg(
+            *[F.count_if(F.col("what") == n).alias(n) for n in parts],
+            *[(F.coalesce(F.sum(F.when(F.col("what") == n, units)), F.lit(0)) / 100).alias(n)
+              for n in measured])
+
+    def measured(self, pipes: DataFrame) -> DataFrame:
+        """``pipes`` with their length; a pipe without vertices has none."""
+        keys = pipes.select(*_KEY)
+        found = polylines.lengths(self.vertices.join(keys, _KEY, "left_semi"), _KEY)
+        return pipes.join(found.select(*_KEY, "length"), _KEY, "left")
+
+    def rounded_segments(self) -> DataFrame:
+        """Profile segments as an extraction writes them: lengths and slopes to two decimals."""
+        return self.profile_segments.withColumns({
+            c: round_half_up(F.col(c), 2) for c in ("length_m", "slope_pct")})
+
+    def write_report(self, folder: str) -> None:
+        """The report as one JSON document per file and line, and next to it the items it counts
+        as tables keyed by file, since a document cannot hold any number of them."""
+        r = self.report()
+        r.select(
+            F.struct("file").alias("meta"),
+            F.struct(F.col("manholes").alias("count"), F.col("with_label").alias("withLabel"),
+                     F.col("with_insert").alias("withInsert"),
+                     F.col("manholes_matched").alias("labeledAndMatched"),
+                     F.col("labels_unmatched").alias("labeledUnmatched"),
+                     F.col("inserts_unlabelled").alias("unlabeledInserts")).alias("manholes"),
+            F.struct(F.col("profiles").alias("count")).alias("profiles"),
+            F.struct(F.col("profile_segments").alias("count")).alias("profileSegments"),
+            F.struct(F.col("polylines").alias("totalLwpolylines"), F.col("pipes").alias("realPipes"),
+                     F.col("profile_zone").alias("profileZone"),
+                     F.col("construction").alias("profileConstructionLines"),
+                     F.col("pipe_length").alias("totalLength")).alias("pipesEU1"),
+            F.struct(F.col("pipe_texts").alias("totalTexts"), F.col("label_groups").alias("groups"))
+            .alias("pipeLabels"),
+            F.struct(F.col("dn200").alias("count"), F.col("dn200_length").alias("totalLength"))
+            .alias("dn200"),
+            F.struct(F.col("second_nodes").alias("inserts"), F.col("second_lines").alias("lines"))
+            .alias("assai"),
+            F.struct(F.col("projected").alias("count")).alias("reseauProjete"),
+            F.struct(F.col("extra_nodes").alias("count")).alias("newEu1Inserts"),
+        ).write.json(f"{folder}/report")
+        for name, df in (("manholes", self.manholes), ("profiles", self.profiles),
+                         ("profile_segments", self.rounded_segments()),
+                         ("pipes", self.classified), ("pipe_labels", self.label_groups)):
+            df.write.parquet(f"{folder}/{name}")
 
 
 def sewer_layers(entities: DataFrame) -> DataFrame:
