@@ -278,3 +278,38 @@ def test_published_meridian_arc(spark):
     df = spark.createDataFrame([(3.0, 90.0 - 1e-9)], "lon double, lat double")
     y = df.select(crs.from_lonlat(F.col("lon"), F.col("lat"))["y"]).first()[0]
     assert y / 0.9996 == pytest.approx(10001965.729, abs=0.002)
+
+
+def test_running_sums_do_not_depend_on_slices(spark):
+    rnd = random.Random(21)
+    values = [rnd.choice([1, -1]) * rnd.random() * 10.0 ** rnd.randrange(-9, 9) for _ in range(900)]
+    values[10] = None
+    rows = [(i % 3, i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g long, n long, v double").repartition(5)
+
+    def run(hot):
+        seq = ordered.Sequence(df, "g", "n", hot).running_sum(s=F.col("v"), k=F.lit(1))
+        return {r.n: (r.s, r.k) for r in seq.df.collect()}
+
+    one, many = run(10 ** 6), run(50)
+    assert one == many  # every bit
+    for g in range(3):
+        mine = [(n, v) for h, n, v in rows if h == g]
+        for i in (0, 1, 150, len(mine) - 1):
+            exact = math.fsum(v or 0.0 for _, v in mine[:i + 1])
+            assert one[mine[i][0]][0] == pytest.approx(exact, rel=1e-15, abs=1e-22)
+    wild = spark.createDataFrame([(0, 0, 1e300), (0, 1, 1.0), (1, 0, float("nan")), (1, 1, 2.0),
+                                  (2, 0, float("-inf")), (2, 1, 2.0)], "g long, n long, v double")
+    got = {(r.g, r.n): r.s for r in ordered.Sequence(wild, "g", "n").running_sum(s=F.col("v")).df.collect()}
+    assert got[0, 1] == 1e300 and math.isnan(got[1, 1]) and got[2, 1] == float("-inf")
+
+
+def test_lengths_do_not_depend_on_partitions(spark):
+    rnd = random.Random(22)
+    df = spark.createDataFrame([(i % 4, i, rnd.random() * 1e3, rnd.random()) for i in range(400)],
+                               "g long, v_no long, x double, y double")
+    from waterloom.operators import polylines
+
+    runs = [{r.g: r.length for r in polylines.lengths(df.repartition(n), ["g"]).collect()}
+            for n in (1, 7)]
+    assert runs[0] == runs[1]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waterloom.functions.numbers import from_sum_parts, sum_parts
 from waterloom.session import materialize
 
 HOT_ROWS = 1_000_000
@@ -72,7 +73,8 @@ class Sequence:
     ) -> "Sequence":
         """Add any number of running values in one pass.
 
-        ``sums``: running sum including the row (null counts as zero).  ``last`` and
+        ``sums``: running sum including the row (null counts as zero); of doubles it is exact, so
+        it does not depend on how the rows are sliced.  ``last`` and
         ``last_before``: latest non-null value up to the row, or strictly before it.
         ``upcoming``: earliest non-null value from the row on.  ``previous`` and ``following``:
         value of the neighbouring row.
@@ -90,9 +92,22 @@ class Sequence:
         # per output: local value, per-slice summary, how it moves along the slices, how the
         # carried value completes the local one
         plan: list[tuple[str, Column, Column, str]] = []
+        kinds = dict(self._df.select(*[c.alias(n) for n, c in (sums or {}).items()]).dtypes) \
+            if sums else {}
+        whole: dict[str, Column] = {}  # sums made of parts, once these are complete
         for n, c in (sums or {}).items():
-            c = F.coalesce(c, F.lit(0))
-            plan.append((n, F.sum(c).over(so_far), F.sum(c), "sum"))
+            if kinds[n] in ("double", "float"):
+                names = [f"_{n}_{i}" for i in range(4)]
+                whole[n] = from_sum_parts(*map(F.col, names))
+                terms = dict(zip(names, sum_parts(c)))
+            else:
+                terms = {n: F.coalesce(c, F.lit(0))}
+            plan += [(k, F.sum(t).over(so_far), F.sum(t), "sum") for k, t in terms.items()]
+
+        def finished(df: DataFrame) -> DataFrame:
+            return df.withColumns(whole).drop(*[f"_{n}_{i}" for n in whole for i in range(4)]) \
+                if whole else df
+
         for n, c in (last or {}).items():
             latest = F.max_by(c, F.when(c.isNotNull(), place))
             plan.append((n, F.last_value(c, F.lit(True)).over(so_far), latest, "last"))
@@ -107,7 +122,7 @@ class Sequence:
         for n, c in (following or {}).items():
             plan.append((n, F.lead(c).over(w), F.min_by(c, place), "following"))
         if not self.sliced:
-            return self._next(self._df.withColumns({n: local for n, local, _, _ in plan}))
+            return self._next(finished(self._df.withColumns({n: local for n, local, _, _ in plan})))
 
         # the rows are read twice, for the summary and for the result, so a chain of passes
         # starts from a written table
@@ -141,9 +156,9 @@ class Sequence:
             else:
                 edge = F.col("_at_start" if kind == "previous" else "_at_end")
                 fill[n] = F.when(edge, theirs).otherwise(mine)
-        return self._next(
+        return self._next(finished(
             out.withColumns(fill).drop("_at_start", "_at_end", *[f"_c_{n}" for n, *_ in plan])
-        )
+        ))
 
     def _next(self, df: DataFrame) -> "Sequence":
         out = Sequence(df, self.keys, self.order, self.hot_rows, _sliced=self.sliced)

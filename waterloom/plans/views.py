@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 from waterloom.functions.numbers import float_prefix
 from waterloom.operators.detect import ACCEPT_COLUMN, AUTO_ACCEPT, PRESELECT_TYPE
+from waterloom.operators.ordered import Sequence
 from waterloom.operators.validate import LINK_TABLES, NODE_TABLES, reference_findings
 
 
 def distinct_diameters(pipes: DataFrame, diameter: str = "diam") -> DataFrame:
     """Distinct non-empty diameters with their number of pipes; ``place`` is the numeric order.
 
-    Texts that do not start with a number come last, in text order.  The window runs over the
-    distinct values alone.
+    Texts that do not start with a number come last, in text order.  The distinct values are
+    numbered by slices when they are too many for one task.
     """
     text = F.trim(F.col(diameter).cast("string"))
     counts = pipes.where(F.coalesce(text, F.lit("")) != "").groupBy(text.alias("diameter")).agg(
         F.count(F.lit(1)).alias("pipes"))
-    order = Window.orderBy(float_prefix(F.col("diameter")).asc_nulls_last(), "diameter")
-    return counts.withColumn("place", F.row_number().over(order).cast("bigint"))
+    size = float_prefix(F.col("diameter"))
+    ranked_ = counts.withColumns({"_none": size.isNull(), "_size": size})
+    return Sequence(ranked_, [], ["_none", "_size", "diameter"]).row_number("place").df.select(
+        "diameter", "pipes", "place")
 
 
 def family_counts(families: dict[str, DataFrame], named: dict[str, Column] | None = None,
