@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waterloom.functions.numbers import SPACES, number, trim
+from waterloom.functions.numbers import SPACES, exact_sum, number, trim
 from waterloom.functions.text import CATEGORY_LIST, CATEGORY_WORDS
 from waterloom.schema import KNOWN_SECTIONS, SECTION_NAMES
 
@@ -33,27 +33,41 @@ def loose_number(value: Column) -> Column:
 
 
 def column_profile(
-    cells: DataFrame, keys: list[str], value: str = "value", approximate: bool = False
+    cells: DataFrame, keys: list[str], value: str = "value", approximate: bool = False,
+    counts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Count, distinct, numeric share, range, mean, uniqueness and category flag per column."""
+    """Count, distinct, numeric share, range, mean, uniqueness and category flag per column.
+
+    Every distinct value of a column is one row with its number of cells, counted before the
+    shuffle; values are parsed and tested once each, and one aggregation of them gives all
+    figures.  ``counts`` adds numbers of cells that pass a test over ``_v``.  With ``approximate``
+    the distinct count is estimated, and cells are not gathered by value.
+    """
     v = F.col(value)
-    filled = v.isNotNull() & (v != "")
-    staged = cells.select(
-        *keys, F.when(filled, v).alias("_v"), F.when(filled, loose_number(v)).alias("_n")
-    )
-    distinct = F.approx_count_distinct("_v") if approximate else F.count_distinct("_v")
+    staged = cells.select(*keys, F.when(v.isNotNull() & (v != ""), v).alias("_v"))
+    if approximate:
+        staged = staged.withColumn("_c", F.lit(1).cast("bigint"))
+    else:
+        staged = staged.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    staged = staged.withColumn("_n", loose_number(F.col("_v")))
+
+    def cells_that(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("_c"))), F.lit(0).cast("bigint"))
+
     category = F.col("_v").rlike(CATEGORY_WORDS)
     words = [F.max(F.when(F.lower("_v") == w, F.lit(w))) for w in CATEGORY_LIST]
+    numeric = F.col("_n").isNotNull()
     out = staged.groupBy(*keys).agg(
-        F.count("_v").alias("total"),
-        distinct.alias("unique"),
-        F.count("_n").alias("numeric_count"),
+        cells_that(F.col("_v").isNotNull()).alias("total"),
+        (F.approx_count_distinct("_v") if approximate else F.count("_v")).alias("unique"),
+        cells_that(numeric).alias("numeric_count"),
         F.min("_n").alias("min"),
         F.max("_n").alias("max"),
-        F.avg("_n").alias("mean"),
+        F.try_divide(exact_sum(F.col("_n") * F.col("_c")), cells_that(numeric)).alias("mean"),
         F.coalesce(F.bool_and(category), F.lit(True)).alias("categorical"),
         # a value per word of the fixed list, so that the aggregation needs no objects
         F.array_compact(F.array(*words)).alias("_words"),
+        *[cells_that(test).alias(n) for n, test in (counts or {}).items()],
     )
     share = lambda n: F.coalesce(F.try_divide(F.col(n), F.col("total")), F.lit(0.0))
     return out.withColumns(
