@@ -4,10 +4,10 @@ Rows are (file, part, value): values of one file and part that come one after th
 part, stored as ``<folder>/<file>/part-<part>-<mark>``; the parts of a folder, in the order of their
 names, concatenate to the file.  Nothing is added: no line end, no encoding.
 
-Every part that is written gets a mark of its own, so a task that runs again, or twice at once, writes beside what
-an earlier attempt has left and never onto it.  The commit knows the parts of the attempts that
-count, removes all others and lists the kept ones in ``parts.json``; before the commit there is no
-list, and a job that fails removes what it has written.
+Every part that is written gets a mark of its own, so a task that runs again, or twice at once,
+writes beside what an earlier attempt has left and never onto it.  The commit knows the parts of
+the attempts that count, removes all others and lists the kept ones in ``parts.json``; before the
+commit there is no list, and a job that fails removes what it has written.
 """
 
 from __future__ import annotations
