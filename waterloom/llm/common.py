@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waterloom.session import ensure_checkpoint_dir
+from waterloom.session import ensure_checkpoint_dir, materialize
 
 #: Texts handled together inside a task, in characters; bounds a task's memory, not the result.
 GROUP_CHARS = 1_000_000
@@ -58,6 +58,33 @@ def bound_batches(spark: SparkSession | None = None) -> None:
         conf.set(key, str(BATCH_ROWS))
 
 
+#: Bits of a filter of hashes: 4 MB however many hashes there are, in bitmaps of 32,768 bits.
+FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
+
+
+def hash_filter(hashes: DataFrame, column: str) -> DataFrame:
+    """Bitmaps that have a bit set for every hash: at most ``FILTER_BITS`` bits in all."""
+    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    return materialize(hashes.groupBy(F.floor(slot / BITMAP_BITS).alias("bucket")).agg(
+        F.bitmap_construct_agg(slot % BITMAP_BITS).alias("bits")))
+
+
+def with_filter(df: DataFrame, bitmaps: DataFrame, hashed: str, name: str) -> DataFrame:
+    """``df`` with ``name``: false only where the hash is surely none of the filter's.
+
+    The filter is broadcast (its size is bounded), so rows that a join would only throw away, or
+    only keep, need not be moved for it; with very many hashes more rows are, never fewer."""
+    bucket, bits = fresh(df, "bucket"), fresh(df, "bits")
+    slot = F.pmod(F.col(hashed), F.lit(FILTER_BITS))
+    joined = df.withColumn(bucket, F.floor(slot / BITMAP_BITS)).join(F.broadcast(
+        bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))), bucket, "left")
+    at = slot % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    bit = F.call_function("shiftright", byte.cast("int"), (at % 8).cast("int"))
+    return joined.withColumn(name, F.coalesce(bit.bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop(
+        bucket, bits)
+
+
 def shared_folder(spark: SparkSession, stem: str) -> str:
     """A new folder name under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
