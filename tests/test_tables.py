@@ -1,11 +1,13 @@
 """Detection, profiling, validation and merging on the shapes the tables arrive in."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from waterloom import schema
 from waterloom.sources import csvfiles
-from waterloom.operators import detect, merge, profiling, validate
+from waterloom.operators import detect, merge, ordered, profiling, validate
 
 FILES = {
     "junctions": ("id,elevation,demand", "J1,73.2,0.16", "J2,68.3,0.19", "J3,65.5,0.23"),
@@ -142,6 +144,18 @@ def test_profile_and_junk(spark):
     assert [r["header"] for r in profiling.junk_columns(df, ["header"]).collect()] == ["j"]
 
 
+def test_mean_of_numbers_whose_sum_is_large(spark):
+    big = 4.0e12  # under 2**42; three of them are beyond 2**43
+    df = spark.createDataFrame([(i, "n", str(int(big) + i)) for i in range(12)],
+                               "row_no int, header string, value string")
+    got = profiling.column_profile(df.unionByName(df), ["header"]).first()
+    assert got["mean"] == big + 5.5 and got["total"] == 24
+    values = spark.createDataFrame([(i, v) for i, v in enumerate([big, 0.25, -3 * big, big, big, -0.5] * 4)],
+                                   "i int, v double")
+    summed = ordered.Sequence(values, [], "i").running_sum(s=F.col("v")).df.orderBy("i").collect()
+    assert [r["s"] for r in summed] == list(itertools.accumulate(r["v"] for r in summed))
+
+
 def test_discriminator(spark):
     rows = [(0, "Section", v) for v in ("JUNCTIONS", "PIPES", "JUNCTIONS", "PIPES")]
     rows += [(1, "col1", v) for v in ("a", "b", "c", "d")]
