@@ -290,3 +290,15 @@ def test_tags_by_split_are_tags_in_sequence(spark, tmp_path):
         dxf.HELD_SPLITS = held
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rows_by_vertex_are_not_broadcast(spark):
+    points = spark.range(40).selectExpr("cast(id as string) id", "id row_no", "id * 3.0 + 1 x", "1.0 y")
+    pipes = spark.range(39).selectExpr("cast(id as string) node1", "cast(id + 1 as string) node2",
+                                       "id row_no", "id % 4 * 10.0 diameter")
+    corners = spark.range(40).selectExpr("id div 5 ent_no", "id v_no", "id * 3.0 + 1.25 x", "1.0 y")
+    got = update.pipe_diameters(corners, points, pipes)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    of = {i: [j % 4 * 10 for j in range(5 * i, 5 * i + 4)] for i in range(8)}
+    expected = {i: max(of[i], key=of[i].count) for i in of}
+    assert {r["ent_no"]: r["diameter"] for r in got.collect()} == expected

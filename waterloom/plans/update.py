@@ -9,6 +9,7 @@ from waterloom.functions.labels import block_for_diameter, layer_for_diameter
 from waterloom.functions.numbers import round_half_up
 from waterloom.operators import graph, spatial
 from waterloom.operators.ordered import Sequence, first_to_reach_mode
+from waterloom.session import materialize
 
 
 def _matched(points: DataFrame, junctions: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -31,12 +32,14 @@ def pipe_diameters(
     keys = keys or ["ent_no"]
     corners = vertices.withColumn("corner", F.struct(*keys, "v_no"))
     hits = _matched(corners, junctions, "corner", tolerance).select("corner", "junction")
-    at = corners.join(hits, "corner", "left").select(*keys, "v_no", "junction")
+    # written, and never broadcast: a row a vertex, read three times below
+    at = materialize(corners.hint("merge").join(hits, "corner", "left").select(
+        *keys, "v_no", "junction"))
     pairs = Sequence(at, keys, "v_no").following(next=F.col("junction")).df.dropna(
         subset=["junction", "next"])
     links = pipes.select(F.col("node1"), F.col("node2"), F.col("row_no").alias("link_no"),
                          "diameter")
-    along = graph.links_between(pairs, links, a="junction", b="next")
+    along = graph.links_between(pairs.hint("merge"), links, a="junction", b="next")
     sizes = along.withColumn("size", round_half_up(F.col("diameter")).cast("bigint"))
     best = first_to_reach_mode(sizes, keys, "size", ["v_no", "link_no"], "diameter")
     if not fallback:
@@ -44,9 +47,9 @@ def pipe_diameters(
     ends = graph.incident_links(links, ["link_no", "diameter"])
     first_link = ends.groupBy(F.col("node").alias("junction")).agg(
         F.min_by("diameter", "link_no").alias("_d"))
-    spare = at.join(first_link, "junction").groupBy(*keys).agg(
+    spare = at.hint("merge").join(first_link, "junction").groupBy(*keys).agg(
         round_half_up(F.min_by("_d", "v_no")).cast("bigint").alias("_d"))
-    return spare.join(best, keys, "full").select(
+    return spare.hint("merge").join(best, keys, "full").select(
         *keys, F.coalesce("diameter", "_d").alias("diameter"))
 
 
