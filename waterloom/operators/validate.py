@@ -12,6 +12,8 @@ from waterloom.functions.text import is_disguised_null, validation_number, valid
 from waterloom.session import materialize
 
 SEVERITIES = ["ok", "info", "warning", "blocking"]
+#: Rows that share one text before they are no longer gathered; at most rows / HOT_USES such texts.
+HOT_USES = 100_000
 
 
 def field_findings(
@@ -85,9 +87,14 @@ def field_findings(
         *keys, "_text", row_no, value)
     repeated = materialize(unique.groupBy(*keys, "_text").agg(
         F.min(row_no).alias("_first"), F.count(F.lit(1)).alias("_uses"),
-    ).where("_uses > 1").drop("_uses"))
-    out.append(failed(unique.join(repeated, [*keys, "_text"])
-                      .where(F.col("_first") < F.col(row_no)), "duplicate_id"))
+    ).where("_uses > 1"))
+    # the few texts that very many rows share are looked up where the rows are, not gathered
+    hot = repeated.where(F.col("_uses") > HOT_USES).drop("_uses")
+    marked = unique.join(F.broadcast(hot), [*keys, "_text"], "left")
+    rare = repeated.where(F.col("_uses") <= HOT_USES).drop("_uses")
+    rest = marked.where(F.col("_first").isNull()).drop("_first").join(rare, [*keys, "_text"])
+    for df in (marked, rest):
+        out.append(failed(df.where(F.col("_first") < F.col(row_no)), "duplicate_id"))
     return reduce(DataFrame.unionByName, out)
 
 
