@@ -313,3 +313,33 @@ def test_lengths_do_not_depend_on_partitions(spark):
     runs = [{r.g: r.length for r in polylines.lengths(df.repartition(n), ["g"]).collect()}
             for n in (1, 7)]
     assert runs[0] == runs[1]
+
+
+def test_long_segments_are_searched_by_pieces(spark, monkeypatch):
+    """Long flat segments above each other: a probe compares those near it, not all that span it."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        x, y = rng.uniform(0, 20000), rng.uniform(0, 400)
+        rows.append((i, x, y, x + rng.uniform(3000, 5000), y + rng.uniform(-20, 20)))
+    rows += [(400, 50.0, 50.0, 50.0, 50.0), (401, *rows[7][1:])]
+    probes = [(i, rng.uniform(-500, 25000), rng.uniform(-50, 450)) for i in range(60)]
+    compared = []
+    best = spatial._best_per_probe
+
+    def counted(found, by):
+        compared.append(found.count())
+        return best(found, by)
+    monkeypatch.setattr(spatial, "_best_per_probe", counted)
+    got = spatial.nearest_segment(
+        spark.createDataFrame(probes, "p long, x double, y double"),
+        spark.createDataFrame(rows, "s long, x1 double, y1 double, x2 double, y2 double"),
+        probe_key="p", segment_key="s", order="s").collect()
+
+    def away(px, py, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        t = min(1.0, max(0.0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy or 1.0)))
+        return math.sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2)
+    want = {p: min((round(away(px, py, *r[1:]), 9), r[0]) for r in rows) for p, px, py in probes}
+    assert {r.p: (round(r.distance, 9), r.s) for r in got} == want
+    assert compared[0] < 40 * len(probes)
