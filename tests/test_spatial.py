@@ -280,6 +280,25 @@ def test_published_meridian_arc(spark):
     assert y / 0.9996 == pytest.approx(10001965.729, abs=0.002)
 
 
+def test_series_are_computed_once_a_position(spark):
+    """Each term of the inverse series stands once in the plan, and the result turns back."""
+    from waterloom.plans.features import extent, point_features
+
+    df = spark.createDataFrame([("f", 500000.0, 4e6), ("f", 612345.0, 3.9e6), ("f", None, 1.0)],
+                               "file string, x double, y double")
+    made = point_features(df, "regard", "EPSG:32631")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("COSH(") == plan.upper().count("COS(") - 1 == len(crs._BETA)
+    spots = [tuple(r.coordinates[0]) for r in made.collect()]
+    assert spots[2][0] is None
+    back = spark.createDataFrame(spots, "lon double, lat double").select(
+        crs.from_lonlat(F.col("lon"), F.col("lat")).alias("p")).collect()
+    for (_, x, y), r in zip([r for r in df.collect()][:2], back):
+        assert (r.p.x, r.p.y) == pytest.approx((x, y), abs=1e-6)
+    box = extent(made).first()
+    assert (box.west, box.north) == (spots[0][0], max(spots[0][1], spots[1][1]))
+
+
 def test_running_sums_do_not_depend_on_slices(spark):
     rnd = random.Random(21)
     values = [rnd.choice([1, -1]) * rnd.random() * 10.0 ** rnd.randrange(-9, 9) for _ in range(900)]

@@ -8,6 +8,7 @@ pp. 107-109).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,11 +49,18 @@ _BETA = [
 ]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _conformal(tau: Column, e: float) -> Column:
     """Tangent of the conformal latitude from the tangent of the latitude."""
-    root = F.sqrt(1 + tau * tau)
-    sigma = F.sinh(F.lit(e) * F.atanh(F.lit(e) * tau / root))
-    return tau * F.sqrt(1 + sigma * sigma) - sigma * root
+    def turned(root: Column) -> Column:
+        sigma = F.sinh(F.lit(e) * F.atanh(F.lit(e) * tau / root))
+        return _let(sigma, lambda s: tau * F.sqrt(1 + s * s) - s * root)
+
+    return _let(F.sqrt(1 + tau * tau), turned)
 
 
 def _latitude_tangent(conformal: Column, e: float, steps: int = 3) -> Column:
@@ -60,19 +68,17 @@ def _latitude_tangent(conformal: Column, e: float, steps: int = 3) -> Column:
 
     Each step is bound through a one-element array so the expression stays linear in size.
     """
-    def step(tau: Column) -> Column:
-        forward = _conformal(tau, e)
-        delta = (
-            (conformal - forward)
+    def step(tau: Column, aim: Column) -> Column:
+        return _let(_conformal(tau, e), lambda forward: tau + (
+            (aim - forward)
             / F.sqrt(1 + forward * forward)
             * (1 + F.lit(1 - e * e) * tau * tau)
             / (F.lit(1 - e * e) * F.sqrt(1 + tau * tau))
-        )
-        return tau + delta
+        ))
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), conformal / F.lit(1 - e * e), lambda tau, _: step(tau)
-    )
+    return _let(conformal, lambda aim: F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), aim / F.lit(1 - e * e), lambda tau, _: step(tau, aim)
+    ))
 
 
 def _utm_forward(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
@@ -87,18 +93,27 @@ def _utm_forward(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     return F.lit(_X0) + F.lit(_K0 * _RECT) * east, F.lit(_K0 * _RECT) * north
 
 
-def _utm_inverse(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
-    xi = y / F.lit(_K0 * _RECT)
-    eta = (x - F.lit(_X0)) / F.lit(_K0 * _RECT)
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        xi0 = xi0 - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta0 = eta0 - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    sinh_eta, cos_xi = F.sinh(eta0), F.cos(xi0)
-    conformal = F.sin(xi0) / F.sqrt(sinh_eta * sinh_eta + cos_xi * cos_xi)
-    lat = F.degrees(F.atan(_latitude_tangent(conformal, _E)))
-    lon = F.degrees(F.atan2(sinh_eta, cos_xi)) + F.lit(float(zone * 6 - 183))
-    return lon, lat
+def _utm_inverse(x: Column, y: Column, zone: int) -> Column:
+    def series(spot: Column) -> Column:
+        xi, eta = spot["xi"], spot["eta"]
+        xi0, eta0 = xi, eta
+        for j, b in enumerate(_BETA, 1):
+            xi0 = xi0 - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            eta0 = eta0 - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return F.struct(xi0.alias("xi"), eta0.alias("eta"))
+
+    def angles(s: Column) -> Column:
+        sinh_eta, cos_xi = s["sinh_eta"], s["cos_xi"]
+        conformal = s["sin_xi"] / F.sqrt(sinh_eta * sinh_eta + cos_xi * cos_xi)
+        lat = F.degrees(F.atan(_latitude_tangent(conformal, _E)))
+        lon = F.degrees(F.atan2(sinh_eta, cos_xi)) + F.lit(float(zone * 6 - 183))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    spot = F.struct((y / F.lit(_K0 * _RECT)).alias("xi"),
+                    ((x - F.lit(_X0)) / F.lit(_K0 * _RECT)).alias("eta"))
+    return _let(_let(_let(spot, series), lambda s: F.struct(
+        F.sinh(s["eta"]).alias("sinh_eta"), F.cos(s["xi"]).alias("cos_xi"),
+        F.sin(s["xi"]).alias("sin_xi"))), angles)
 
 
 def _conic_constants(p: dict) -> tuple[float, float, float, float, float]:
@@ -124,26 +139,29 @@ def _conic_forward(lon: Column, lat: Column, p: dict) -> tuple[Column, Column]:
     return F.lit(p["x0"]) + rho * F.sin(theta), F.lit(p["y0"] + rho0) - rho * F.cos(theta)
 
 
-def _conic_inverse(x: Column, y: Column, p: dict) -> tuple[Column, Column]:
+def _conic_inverse(x: Column, y: Column, p: dict) -> Column:
     e, n, big_f, rho0, ak = _conic_constants(p)
-    dx, dy = x - F.lit(p["x0"]), F.lit(rho0 + p["y0"]) - y
-    rho = F.sqrt(dx * dx + dy * dy)
-    t = F.pow(rho / F.lit(ak * big_f), F.lit(1 / n))
-    # the conformal latitude is pi/2 - 2 atan(t); its tangent is (1 - t^2) / (2 t)
-    lat = F.degrees(F.atan(_latitude_tangent((1 - t * t) / (2 * t), e)))
-    lon = F.degrees(F.atan2(dx, dy)) / F.lit(n) + F.lit(p["lon"])
-    return lon, lat
+
+    def angles(s: Column) -> Column:
+        dx, dy = s["dx"], s["dy"]
+        rho = F.sqrt(dx * dx + dy * dy)
+        # the conformal latitude is pi/2 - 2 atan(t); its tangent is (1 - t^2) / (2 t)
+        lat = _let(F.pow(rho / F.lit(ak * big_f), F.lit(1 / n)), lambda t: F.degrees(
+            F.atan(_latitude_tangent((1 - t * t) / (2 * t), e))))
+        lon = F.degrees(F.atan2(dx, dy)) / F.lit(n) + F.lit(p["lon"])
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return _let(F.struct((x - F.lit(p["x0"])).alias("dx"),
+                         (F.lit(rho0 + p["y0"]) - y).alias("dy")), angles)
 
 
 def to_lonlat(x: Column, y: Column, code: str = "EPSG:32631") -> Column:
     """Struct {lon, lat} in degrees from projected coordinates."""
     if code in UTM_ZONES:
-        lon, lat = _utm_inverse(x, y, UTM_ZONES[code])
-    elif code in CONIC:
-        lon, lat = _conic_inverse(x, y, CONIC[code])
-    else:
-        raise ValueError(f"unknown coordinate system {code!r}; known: {', '.join(CODES)}")
-    return F.struct(lon.alias("lon"), lat.alias("lat"))
+        return _utm_inverse(x, y, UTM_ZONES[code])
+    if code in CONIC:
+        return _conic_inverse(x, y, CONIC[code])
+    raise ValueError(f"unknown coordinate system {code!r}; known: {', '.join(CODES)}")
 
 
 def from_lonlat(lon: Column, lat: Column, code: str = "EPSG:32631") -> Column:

@@ -17,8 +17,9 @@ COLUMNS = ["file", "type", "geometry", "coordinates", "properties"]
 
 
 def _lonlat(x: str, y: str, code: str) -> Column:
-    spot = to_lonlat(F.col(x), F.col(y), code)
-    return F.array(spot["lon"], spot["lat"])
+    # bound, so that the position is computed once for its two numbers
+    spot = F.array(to_lonlat(F.col(x), F.col(y), code))
+    return F.transform(spot, lambda s: F.array(s["lon"], s["lat"]))[0]
 
 
 def _row(df: DataFrame, kind: str, geometry: str, properties: dict[str, Column]) -> DataFrame:
