@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waterloom.llm import langid, lm, quality
@@ -176,3 +177,10 @@ def test_language_model_of_nothing(spark):
     one = spark.createDataFrame([(1, "abc")], df.schema)
     row = lm.score(one, lm.fit(one, F.lit(False))).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.score < 0
+
+
+def test_held_gains_are_those_computed_anew():
+    for p, times in ((-3.25, 2), (-0.5, 7), (-3.25, 2), (-11.0, 400)):
+        assert lm.adapted_gains(p, times) == tuple(lm.adapted(p, times, a) for a in lm.STRENGTHS)
+    assert lm.adapted_gains.cache_info().maxsize and lm.text_gains.cache_info().maxsize
+    assert lm.text_gains(1) == pytest.approx([0.0] * len(lm.STRENGTHS), abs=1e-9)
