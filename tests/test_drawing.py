@@ -302,3 +302,29 @@ def test_rows_by_vertex_are_not_broadcast(spark):
     of = {i: [j % 4 * 10 for j in range(5 * i, 5 * i + 4)] for i in range(8)}
     expected = {i: max(of[i], key=of[i].count) for i in of}
     assert {r["ent_no"]: r["diameter"] for r in got.collect()} == expected
+
+
+def test_read_lines_are_numbered_without_moving_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(model_text, "RUN", 3)
+    text = ["0", "SECTION", "2", "ENTITIES"]
+    for n in range(5):
+        text += ["0", "LWPOLYLINE", "8", "", "90", str(n + 2)]
+        for v in range(n + 2):
+            text += ["10", f"{n}.5", "20", f"{v}.25"]
+    text += ["0", "ENDSEC", "0", "EOF"]
+    for i, at in enumerate(range(0, len(text), 11)):
+        (tmp_path / f"part-{i:05d}.txt").write_text("\n".join(text[at:at + 11]) + "\n")
+    parts = read_lines(spark, str(tmp_path)).selectExpr(
+        "file AS part", "line_no AS row", "text AS line")
+    got = model_text.numbered_lines(parts, counted=True)
+    plain = model_text.numbered_lines(parts)
+    assert {tuple(r) for r in got.drop("block").collect()} == {tuple(r) for r in plain.collect()}
+    assert all(r.block == r.line_no // 3 for r in got.collect())
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString()
+
+    def shapes(numbered):
+        kept = dxf.model_space(dxf.mark_entities(dxf.tags_from_lines(numbered)), ["LWPOLYLINE"])
+        return sorted(tuple(r) for r in dxf.vertices(kept).collect())
+    assert shapes(got) == shapes(plain)
+    assert [r[2:] for r in shapes(got)] == [
+        (v + 1, n + 0.5, v + 0.25) for n in range(5) for v in range(n + 2)]

@@ -167,7 +167,9 @@ def section_spans(tags: DataFrame) -> DataFrame:
 
 def mark_entities(tags: DataFrame, section: str = "ENTITIES") -> DataFrame:
     """Tags of one section with entity number (tag_no of its start), type and block depth."""
-    span = section_spans(tags).where(F.col("section") == section).select("file", "first", "last")
+    # a few rows a file, written so that their size is known and the tags need not be moved
+    span = materialize(section_spans(tags).where(F.col("section") == section).select(
+        "file", "first", "last"))
     inside = tags.join(span, "file").where(
         (F.col("tag_no") > F.col("first") + 2)
         & (F.col("last").isNull() | (F.col("tag_no") < F.col("last")))
@@ -226,16 +228,13 @@ def vertices(kept: DataFrame) -> DataFrame:
     """
     shapes = kept.where(F.col("type").isin("LWPOLYLINE", "SPLINE"))
     points = shapes.where(F.col("code").isin(10, 20))
-    keep = ["block"] if "block" in kept.columns else []
-    paired = Sequence(points, ["file", "ent_no"], "tag_no", slice_by=_slices(kept)).following(
-        _nc=F.col("code"), _nv=F.col("value")
+    paired = Sequence(points, ["file", "ent_no"], "tag_no", slice_by=_slices(kept)).compute(
+        following={"_nc": F.col("code"), "_nv": F.col("value")},
+        sums={"v_no": F.when(F.col("code") == 10, 1).otherwise(0).cast("bigint")},
     ).df.where(F.col("code") == 10)
     y = F.when(F.col("_nc") == 20, float_prefix(F.col("_nv"))).otherwise(F.lit(0.0))
-    placed = paired.select("file", "ent_no", "tag_no", float_prefix(F.col("value")).alias("x"),
-                           y.alias("y"), *keep)
-    numbered = Sequence(placed, ["file", "ent_no"], "tag_no", slice_by=_slices(kept)).row_number(
-        "v_no"
-    ).df
+    numbered = paired.select("file", "ent_no", "v_no", float_prefix(F.col("value")).alias("x"),
+                             y.alias("y"))
     limit = shapes.where((F.col("code") == 90) & (F.col("type") == "LWPOLYLINE")).groupBy(
         "file", "ent_no"
     ).agg(int_prefix(F.max_by("value", "tag_no")).alias("_max"))
