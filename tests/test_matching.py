@@ -59,3 +59,26 @@ def test_values_on_a_line_by_links(spark):
             free.remove(best)
             want[p] = best[0]
     assert {r["p"]: r["c"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed,grid,side,rounds", [
+    (5, None, 1, 1), (6, 10.0, 2, 1), (7, None, 2, 0), (8, 40.0, 1, 2)])
+def test_crowds_too_large_for_a_task_are_settled_by_tiles(spark, monkeypatch, seed, grid, side, rounds):
+    monkeypatch.setattr(matching, "SETTLED_ROWS", 5)
+    monkeypatch.setattr(matching, "TILE_SIDES", (side,))
+    probes, cands = points(seed, 90, 150, grid), points(seed + 50, 60, 150, grid)
+    got = matching.serial_match(
+        frame(spark, probes, "p"), frame(spark, cands, "c"), probe_key="p", point_key="c",
+        probe_order="p_ord", point_order="c_ord", radius=25.0, cell_cap=2, rounds=rounds)
+    assert {r["p"]: r["c"] for r in got.collect()} == brute_serial(probes, cands, 25.0)
+
+
+def test_a_chain_in_a_large_crowd_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SETTLED_ROWS", 5)
+    probes = [(i, 0.0, i * 1e-6) for i in range(40)]
+    cands = [(i, 1.0 + i * 0.5, 0.0) for i in range(40)]
+    got = matching.serial_match(
+        frame(spark, probes, "p"), frame(spark, cands, "c"), probe_key="p", point_key="c",
+        probe_order="p_ord", point_order="c_ord", radius=25.0)
+    assert {r["p"]: r["c"] for r in got.collect()} == brute_serial(probes, cands, 25.0)
+    assert got.rounds <= matching.ROUNDS + 3

@@ -6,8 +6,10 @@ Both reproduce a sequential greedy loop exactly.  Rounds cut their lineage with
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ ROUNDS = 6
 #: Rows, and pairs of a probe and a point in neighbouring cells, of a neighbourhood that one task
 #: settles; larger ones go on in rounds.
 SETTLED_ROWS, SETTLED_PAIRS = 200_000, 20_000_000
+#: Cells along a side of a tile, and the rows (probes, slots in and around it) that a tile may have.
+TILE_SIDES, TILE_ROWS = (16, 8, 4, 2, 1), 100_000
 
 
 def _settle_line(probes: list, points: list, radius: float) -> list:
@@ -150,6 +154,188 @@ def _settled(probes: DataFrame, points: DataFrame, parts: DataFrame, by: list[st
         *by, "_pid", "_key", "_dist")
 
 
+def _settle_tile(probes: list, slots: pd.DataFrame, holders: list, radius: float) -> tuple:
+    """Let probes (turn, id, x, y) ask until each is seated, sent to a slot around the tile, or
+    refused by all; returns who holds (id, x, y, turn, slot id, distance) the tile's own slots and
+    who has to ask elsewhere (id, x, y, turn, x and y of the slot).
+
+    ``slots`` has sid, x, y, rank, seats, limit and own.  The limits of slots around the tile are
+    those of the round before: they only fall, so a slot that refuses by them refuses for good.
+    """
+    cx, cy = (np.floor(slots[c].to_numpy() / radius) for c in ("x", "y"))
+    slots = slots.iloc[np.lexsort((cy, cx))]
+    sid, x, y, rank, seats, limit, own = (
+        slots[c].to_numpy(copy=True) for c in ("sid", "x", "y", "rank", "seats", "limit", "own"))
+    columns: dict[float, tuple] = {}
+    cx, cy = np.floor(x / radius), np.floor(y / radius)
+    for c in np.unique(cx):
+        lo, hi = np.searchsorted(cx, c, "left"), np.searchsorted(cx, c, "right")
+        columns[c] = int(lo), cy[lo:hi]
+    near: dict[tuple, list] = {}
+
+    def runs(px: float, py: float) -> list:
+        """The slots of the nine cells around a place, as three runs."""
+        cell = math.floor(px / radius), math.floor(py / radius)
+        if cell not in near:
+            near[cell] = []
+            for c in (cell[0] - 1, cell[0], cell[0] + 1):
+                if c in columns:
+                    lo, rows = columns[c]
+                    a, b = np.searchsorted(rows, cell[1] - 1), np.searchsorted(
+                        rows, cell[1] + 1, "right")
+                    if a < b:
+                        near[cell].append((lo + int(a), lo + int(b)))
+        return near[cell]
+
+    at = {s: i for i, s in enumerate(sid.tolist())}
+    seated: dict[int, list] = {}
+    for pid, px, py, turn, slot, d in holders:
+        seated.setdefault(at[slot], []).append((-turn, pid, px, py, d))
+    for heap in seated.values():
+        heapq.heapify(heap)
+    heapq.heapify(probes)
+    away = []
+    while probes:
+        turn, pid, px, py = heapq.heappop(probes)
+        best = None
+        for lo, hi in runs(px, py):
+            some = np.flatnonzero(limit[lo:hi] > turn)
+            if some.size:
+                some += lo
+                dx, dy = px - x[some], py - y[some]
+                d = np.sqrt(dx * dx + dy * dy)
+                least = d.min()
+                if least < radius and (best is None or least <= best[0]):
+                    ties = some[d == least]
+                    i = int(ties[rank[ties].argmin()])
+                    found = (float(least), int(rank[i]), i)
+                    best = found if best is None else min(best, found)
+        if best is None:
+            continue
+        d, _, i = best
+        if not own[i]:
+            away.append((pid, px, py, turn, x[i], y[i]))
+            continue
+        heap = seated.setdefault(i, [])
+        heapq.heappush(heap, (-turn, pid, px, py, d))
+        if len(heap) > seats[i]:
+            late, *rest, _ = heapq.heappop(heap)
+            heapq.heappush(probes, (-late, *rest))
+        if len(heap) == seats[i]:
+            limit[i] = -heap[0][0]
+    held = [(pid, px, py, -late, int(sid[i]), d) for i, heap in seated.items()
+            for late, pid, px, py, d in heap]
+    return held, away
+
+
+def _tile_side(asking: DataFrame, slots: DataFrame, by: list[str], radius: float) -> int | None:
+    """Cells along a side of the largest tiles that all have few enough rows, if any have."""
+    cells = with_own_cell(asking, "_px", "_py", radius).groupBy(*by, "_cx", "_cy").agg(
+        F.count(F.lit(1)).alias("_n"), F.lit(0).cast("bigint").alias("_s"))
+    cells = materialize(cells.unionByName(
+        with_own_cell(slots, "_x", "_y", radius).groupBy(*by, "_cx", "_cy").agg(
+            F.lit(0).cast("bigint").alias("_n"), F.count(F.lit(1)).alias("_s"))))
+    for side in TILE_SIDES:
+        around = ((side + 4) / side) ** 2
+        rows = cells.groupBy(*by, *[F.floor(F.col(c) / side).alias(c) for c in ("_cx", "_cy")]).agg(
+            (F.sum("_n") + F.sum("_s") * around).alias("_rows")).agg(F.max("_rows")).first()[0]
+        if (rows or 0) <= TILE_ROWS:
+            return side
+    return None
+
+
+TILE = ("seated boolean, id bigint, px double, py double, turn double, sid bigint, dist double, "
+        "ax double, ay double")
+
+
+def _by_tiles(waiting: DataFrame, slots: DataFrame, held: DataFrame | None, by: list[str],
+              radius: float, side: int) -> tuple[DataFrame, int]:
+    """Who holds a seat (as ``held``) once all ``waiting`` probes have asked, and the rounds taken.
+
+    The order of questions does not change a stable matching, so a task lets the probes of a tile
+    of ``side`` cells ask one after the other, whole chains of them; only a probe whose next choice
+    lies in another tile waits for the next round.  A tile knows the slots two cells around it, all
+    that a probe which asks it, or one that loses a seat in it, can reach.
+    """
+    number = F.monotonically_increasing_id()
+    groups = materialize(slots.select(*by).distinct().withColumn("_g", number)) if by else None
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.join(groups, by) if by else df.withColumn("_g", F.lit(0).cast("bigint"))
+
+    ranked = Sequence(slots, by, ["_ord", "_x", "_y", "_slot"]).row_number("_rank").df
+    places = materialize(grouped(ranked).withColumn("_sid", number))
+    person = [*by, "_pid", "_px", "_py", "_turn"]
+    everyone = waiting.select(*person).withColumn("_at", F.lit(None).cast("bigint")).withColumn(
+        "_dist", F.lit(None).cast("double"))
+    if held is not None:
+        own = places.select(*by, "_x", "_y", "_slot", F.col("_sid").alias("_at"))
+        everyone = everyone.unionByName(held.join(own, [*by, "_x", "_y", "_slot"]).select(
+            *person, "_at", "_dist"))
+    usable = F.col("_pid").isNotNull() & F.col("_turn").isNotNull() & ~F.isnan("_turn")
+    everyone = materialize(grouped(everyone.where(usable)).withColumn("_id", number))
+    state = everyone.select(
+        "_g", F.col("_at").isNotNull().alias("seated"), F.col("_id").alias("id"),
+        F.col("_px").alias("px"), F.col("_py").alias("py"), F.col("_turn").alias("turn"),
+        F.coalesce("_at", F.lit(-1)).alias("sid"), F.coalesce("_dist", F.lit(0.0)).alias("dist"),
+        F.col("_px").alias("ax"), F.col("_py").alias("ay"))
+    at = places.select(F.col("_sid").alias("sid"), F.col("_x").alias("_hx"), F.col("_y").alias("_hy"))
+    state = materialize(state.join(at, "sid", "left").withColumns({
+        "ax": F.coalesce("_hx", "ax"), "ay": F.coalesce("_hy", "ay")}).drop("_hx", "_hy"))
+    tile, taken = ["_g", "_tx", "_ty"], 0
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        kind = frame["kind"].to_numpy()
+        slots_ = frame[kind == 2].rename(columns={"px": "x", "py": "y", "turn": "limit", "id": "rank"})
+        asking = list(frame.loc[kind == 0, ["turn", "id", "px", "py"]].itertuples(
+            index=False, name=None))
+        holders = list(frame.loc[kind == 1, ["id", "px", "py", "turn", "sid", "dist"]].itertuples(
+            index=False, name=None))
+        place = dict(zip(slots_["sid"].tolist(), zip(slots_["x"].tolist(), slots_["y"].tolist())))
+        held_, away = _settle_tile(asking, slots_, holders, radius)
+        g = frame["_g"].iloc[0]
+        rows = [(g, True, *h, *place[h[4]]) for h in held_] + [
+            (g, False, *a[:4], -1, 0.0, *a[4:]) for a in away]
+        return pd.DataFrame(rows, columns=["_g", *[c.split()[0] for c in TILE.split(", ")]])
+
+    while not state.where("NOT seated").isEmpty():
+        # every other round the tiles lie half a side further
+        move = side // 2 * (taken % 2)
+        taken += 1
+
+        def tile_of(c: str, by_cells: int = 0):
+            return F.floor((F.floor(F.col(c) / F.lit(float(radius))) + move + by_cells) / side)
+
+        placed = state.withColumns({"_tx": tile_of("ax"), "_ty": tile_of("ay")})
+        active = materialize(placed.where("NOT seated").select(*tile).distinct())
+        limits = materialize(state.where("seated").groupBy("sid").agg(
+            F.count(F.lit(1)).alias("_taken"), F.max("turn").alias("_latest")))
+        offered = places.select(
+            "_g", F.col("_sid").alias("sid"), "_x", "_y", "_rank", "_seats").join(
+            limits, "sid", "left")
+        for c, name in (("_x", "_tx"), ("_y", "_ty")):
+            offered = offered.withColumn(f"{name}0", tile_of(c)).withColumn(name, F.explode(
+                F.array_distinct(F.array(*[tile_of(c, i) for i in range(-2, 3)]))))
+        limit = F.when(F.col("_taken") >= F.col("_seats"), F.col("_latest")).otherwise(
+            F.lit(float("inf")))
+        offered = offered.select(
+            *tile, F.lit(2).alias("kind"), F.col("_rank").cast("bigint").alias("id"),
+            F.col("_x").alias("px"), F.col("_y").alias("py"), limit.alias("turn"), "sid",
+            F.lit(0.0).alias("dist"), F.col("_seats").cast("bigint").alias("seats"),
+            ((F.col("_tx") == F.col("_tx0")) & (F.col("_ty") == F.col("_ty0"))).alias("own"))
+        people = placed.select(
+            *tile, F.col("seated").cast("int").alias("kind"), "id", "px", "py", "turn", "sid",
+            "dist", F.lit(0).cast("bigint").alias("seats"), F.lit(False).alias("own"))
+        rows = people.unionByName(offered).join(active, tile, "left_semi")
+        solved = rows.groupBy(*tile).applyInPandas(settle, f"_g bigint, {TILE}")
+        rest = placed.join(active, tile, "left_anti").drop("_tx", "_ty")
+        state = materialize(solved.unionByName(rest))
+    people = everyone.select(*by, "_pid", "_px", "_py", "_turn", F.col("_id").alias("id"))
+    seats = places.select("_x", "_y", "_slot", F.col("_sid").alias("sid"))
+    return materialize(state.select("id", "sid", F.col("dist").alias("_dist")).join(
+        people, "id").join(seats, "sid").select(*person, "_x", "_y", "_slot", "_dist")), taken
+
+
 def priority(df: DataFrame, order: list[str], name: str = "priority", by=None) -> DataFrame:
     """Number the rows in match order."""
     return Sequence(df, by or [], order).row_number(name).df
@@ -169,8 +355,11 @@ def serial_match(
     earliest askers and sends the others on.  A refusal is final, so the rounds end, but a chain
     of probes that compete for the same slots takes a round for each.  After ``rounds`` rounds the
     neighbourhoods (cells that chains of neighbours connect) with open probes are therefore
-    settled by a task each, in the order of their probes, if they are small enough for that;
-    only larger ones go on in rounds.  ``line`` says that all places lie on one line.
+    settled by a task each, in the order of their probes, if they are small enough for that.
+    Larger ones are cut into tiles, whose probes ask inside a task until one has to ask in another
+    tile; crowded cells and more than ``SETTLED_ROWS`` probes come to that at once.  Only where a
+    single cell is too crowded for a task, the rounds go on.  ``line`` says that all places lie on
+    one line.
 
     Points at one position normally form one slot with that many seats, so a crowd of points is
     filled in one round.  That is exact unless a probe is equally far from two positions, one of
@@ -219,8 +408,9 @@ def serial_match(
     endless = F.lit(float("inf"))
     held: DataFrame | None = None
     everyone, done, taken = waiting, None, 0
+    settle_at = 0 if not (line or sparse) and waiting.count() > SETTLED_ROWS else rounds
     while True:
-        if taken == rounds and not waiting.isEmpty():
+        if taken == settle_at and not waiting.isEmpty():
             parts = _neighbourhoods(everyone, located, by, radius)
             open_ = with_own_cell(waiting, "_px", "_py", radius).join(
                 parts, [*by, "_cx", "_cy"]).select("_part").distinct()
@@ -233,7 +423,13 @@ def serial_match(
             def outside(df, px, py):
                 return materialize(with_own_cell(df, px, py, radius).join(
                     apart, [*by, "_cx", "_cy"], "left_anti").drop("_cx", "_cy"))
-            waiting, held = outside(waiting, "_px", "_py"), outside(held, "_x", "_y")
+            waiting = outside(waiting, "_px", "_py")
+            held = None if held is None else outside(held, "_x", "_y")
+            side = None if line or waiting.isEmpty() else _tile_side(waiting, slots, by, radius)
+            if side:
+                held, more = _by_tiles(waiting, slots, held, by, radius, side)
+                taken += more
+                break
         taken += 1
         if held is None:
             offers = slots.withColumn("_limit", endless)
