@@ -31,6 +31,18 @@ FULL = 32
 CHUNK = 1 << 16
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of their 64 bits set."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1,
+                         bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """Fingerprint of ``n`` hashes from the counts of their bits."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
 def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
     """Bit i is set if it is set in over half of the XXH64 hashes of the text's shingles."""
     import xxhash
@@ -46,10 +58,8 @@ def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
     ones = np.zeros(64, np.int64)
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
     for at in range(0, n, CHUNK):
-        h = np.fromiter(islice(hashes, CHUNK), "<u8", min(CHUNK, n - at))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+        ones += bits_set(np.fromiter(islice(hashes, CHUNK), "<u8", min(CHUNK, n - at)))
+    return majority(ones, n)
 
 
 def fingerprint(text: Column | str) -> Column:
