@@ -1,5 +1,7 @@
 """The language stage keeps documents of a table with many languages."""
 
+import zlib
+
 import numpy as np
 
 import corpus_pipeline
@@ -18,3 +20,14 @@ def test_clean_short_documents_of_many_languages_stay(spark, monkeypatch):
     assert (score < 0.3).all()
     kept = corpus_pipeline.keep_language(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_every_document_is_learned_from(spark):
+    """A third of the ids by crc32, which the stage once left out, is learned from like the rest."""
+    third = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(i, f"eine kleine zeile nummer {i}", "de") for i in third]
+    rows += [(i + 1000, f"une petite ligne de texte {i}", "fr") for i in third
+             if zlib.crc32(str(i + 1000).encode()) % 3 == 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_language(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in rows)
