@@ -362,3 +362,68 @@ def test_long_segments_are_searched_by_pieces(spark, monkeypatch):
     want = {p: min((round(away(px, py, *r[1:]), 9), r[0]) for r in rows) for p, px, py in probes}
     assert {r.p: (round(r.distance, 9), r.s) for r in got} == want
     assert compared[0] < 40 * len(probes)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_crowded_segments_are_left_out_by_tiles(spark, monkeypatch, few):
+    """Thousands of long flat lines above each other: tiles of probes keep few of them."""
+    rng = random.Random(15)
+    lines = []
+    for i in range(600):  # lines of five corners, so that neighbours are equally near at a corner
+        x, y = rng.uniform(0, 15000), rng.uniform(0, 400)
+        corners = [(x + 1000 * j, y + rng.uniform(-20, 20)) for j in range(5)]
+        lines += [(10 * i + j, *a, *b) for j, (a, b) in enumerate(zip(corners, corners[1:]))]
+    lines += [(9000, 50.0, 50.0, 50.0, 50.0), (9001, *lines[7][1:]), (9002, None, None, 1.0, None)]
+    rows = [(f, *r) for f in "ab" for r in lines if f == "a" or r[0] % 3 or r[0] > 8999]
+    probes = [(f, i, rng.uniform(-500, 20000), rng.uniform(-50, 450))
+              for f in "ab" for i in range(60)]
+    probes += [("a", 200 + k, lines[k][3], lines[k][4]) for k in range(0, 40, 4)]
+    probes += [("a", 3, 100.0, 1e4), ("a", 4, None, 1.0), ("c", 5, 1.0, 1.0), ("b", 70, 1e6, 0.1)]
+    for name, value in (("TILE_PROBES", 4), ("FEW_PAIRS", few)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+    compared, best = [], spatial._best_per_probe
+
+    def counted(found, by):
+        compared.append(found.count())
+        return best(found, by)
+    monkeypatch.setattr(spatial, "_best_per_probe", counted)
+    got = spatial.nearest_segment(
+        spark.createDataFrame(probes, "f string, p long, x double, y double"),
+        spark.createDataFrame(rows, "f string, s long, x1 double, y1 double, x2 double, y2 double"),
+        probe_key="p", segment_key="s", order="s", by=["f"]).collect()
+
+    def away(px, py, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        size = dx * dx + dy * dy
+        if size == 0:
+            return math.sqrt((px - ax) ** 2 + (py - ay) ** 2)
+        t = min(1.0, max(0.0, ((px - ax) * dx + (py - ay) * dy) / size))
+        ex, ey = px - (ax + t * dx), py - (ay + t * dy)
+        return math.sqrt(ex * ex + ey * ey)
+    want = {}
+    for f, p, px, py in probes:
+        if f != "c" and px is not None:
+            near = min((away(px, py, *r[2:]), r[1]) for r in rows if r[0] == f and r[2] is not None)
+            want[f, p] = min(want.get((f, p), near), near)
+    assert {(r.f, r.p): (r.distance, r.s) for r in got} == want
+    assert sum(compared) < (40 if few else 200) * len(probes)
+
+
+def test_crowded_segments_fill_no_disk(spark):
+    """What a search of long flat segments shuffles follows the probes and segments."""
+    rng = random.Random(16)
+    rows = [(i, x, y, x + 4000, y + rng.uniform(-50, 50)) for i, x, y in (
+        (i, rng.uniform(0, 15000), rng.uniform(0, 400)) for i in range(3000))]
+    probes = [(i, rng.uniform(-500, 20000), rng.uniform(-50, 450)) for i in range(1500)]
+
+    def kept():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(
+            ).getAllFiles()
+        return {found.apply(i).getName(): found.apply(i).length() for i in range(found.size())}
+    before = kept()
+    spatial.nearest_segment(
+        spark.createDataFrame(probes, "p long, x double, y double"),
+        spark.createDataFrame(rows, "s long, x1 double, y1 double, x2 double, y2 double"),
+        probe_key="p", segment_key="s", order="s").collect()
+    size = sum(n for name, n in kept().items() if name not in before)
+    assert size < 100 * (len(rows) + len(probes))
