@@ -147,6 +147,24 @@ def test_language_model_scores(spark):
         assert abs(a.score - b.score) < 1e-6 * abs(a.score)
 
 
+def test_contexts_count_every_occurrence(spark):
+    words = {b"the": 5, b"then": 1, b"thing": 40, b"": 12, "gr\u00fcn".encode(): 3_000_000_000}
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()],
+                               "word binary, c long").repartition(3)
+    want = np.zeros((len(lm.CONTEXTS), 2 * lm.SLOTS), np.int64)
+    for w, c in words.items():
+        for k in range(8):
+            bit, slots = lm.Bits([w]).bit(k)
+            for i, s in enumerate(slots):
+                for at in 2 * s + bit:
+                    want[i, at] += c
+    got = np.zeros_like(want)
+    for r in lm.context_counts(df).collect():
+        got[r.context, 2 * lm.BLOCK * r.block:2 * lm.BLOCK * (r.block + 1)] = np.frombuffer(
+            r.counts, np.uint8)
+    assert (got == lm.levels(want)).all() and got.max() > 250
+
+
 def test_spellings_are_probabilities():
     words = [b"the", b"then", b"thing", b"", b"a"]
     table = np.zeros((len(lm.CONTEXTS), lm.SLOTS, 2), np.uint8)
